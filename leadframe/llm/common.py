@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without the setting."""
     conf = spark.sparkContext.getConf()
     if root := conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return re.sub("^file:/+", "file:///", full)
     if not conf.get("spark.master", "").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "leadframe-checkpoints")

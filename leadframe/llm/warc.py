@@ -123,7 +123,7 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0) -> DataFra
                 if out is None and batch.num_rows:
                     system, where = file_system(path)
                     system.create_dir(where.rpartition("/")[0], recursive=True)
-                    out = system.open_output_stream(where)
+                    out = system.open_output_stream(where, compression=None)
                 lines = []
                 for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                     member = gzip_member(record(page_id, url, html.encode(), refers_to))
@@ -149,7 +149,7 @@ def write_index(lines: DataFrame, root: str, block_lines: int = BLOCK_LINES) ->
             if out is None:
                 system, where = file_system(path)
                 system.create_dir(where.rpartition("/")[0], recursive=True)
-                out = system.open_output_stream(where)
+                out = system.open_output_stream(where, compression=None)
             data = gzip_member("\n".join(json.dumps(r) for r in rows).encode())
             out.write(data)
             at += len(data)
