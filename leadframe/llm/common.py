@@ -87,6 +87,16 @@ class WordCache:
         self.huge = [w for w in new if len(w) > 64] if new else []
         return self.of
 
+    def values(self, cut: list[list]) -> list[list]:
+        """The values of each text's words, in order; no value may be None. Words already known are looked up once."""
+        self.learn(())
+        got = [list(map(self.of.get, own)) for own in cut]
+        missing = {w for own, v in zip(cut, got, strict=True) if None in v for w, x in zip(own, v, strict=True) if x is None}
+        if missing:
+            of = self.learn(missing)
+            got = [[of[w] if x is None else x for w, x in zip(own, v, strict=True)] if None in v else v for own, v in zip(cut, got, strict=True)]
+        return got
+
 
 _WORDS = re.compile(r"[^\W_]+")
 

@@ -30,10 +30,11 @@ END_ID = 1
 #: The split pattern of the tokenizer's file for text that is in lower case already: words of Latin-1 characters only, where every version of Unicode agrees.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 _LATIN = re.compile(r"[\x21-\x84\x86-\x9f\xa1-\xff]+")
+_LATIN_TEXT = re.compile(r"[\t-\r\x20-\x84\x86-\x9f\xa1-\xff]*")
 
 
 class WordBpe:
-    """Ids of a tokenizer that drops white space: white-space-free words are encoded apart, and equal ones once."""
+    """Ids of a tokenizer that drops white space: the matches of its split pattern are encoded apart, and equal ones once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,8 +46,7 @@ class WordBpe:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, "i8")
         for text, i in vocab.items():
             self.n_bytes[i] = len(text.removesuffix("</w>"))
-        self.parts = WordCache(self._encode)
-        self.words = WordCache(self._words)
+        self.parts = WordCache(self._encode, most=600_000)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part as little-endian 32-bit numbers. Parts are encoded many at a time and told apart by byte counts; where those do not tally, one at a time."""
@@ -55,7 +55,7 @@ class WordBpe:
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
             have = np.cumsum(self.n_bytes[ids])
-            ends = np.cumsum([len(unicodedata.normalize("NFC", p).lower().encode()) for p in group])
+            ends = np.cumsum([len(p) if p.isascii() else len(unicodedata.normalize("NFC", p).lower().encode()) for p in group])
             cuts = np.searchsorted(have, ends)
             if len(have) and have[-1] == ends[-1] and (have[cuts] == ends).all():
                 data, at = ids.tobytes(), 0
@@ -66,18 +66,17 @@ class WordBpe:
                 out += [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
         return out
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        cut = []
-        for w in words:
-            text = w.decode()
-            cut.append(_PARTS.findall(text.lower()) if _LATIN.fullmatch(text) else [text])
-        of = self.parts.learn(set().union(*cut))
-        return [b"".join([of[p] for p in own]) for own in cut]
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The matches of the split pattern in lower case where the text is Latin-1, else words without white space."""
+        if _LATIN_TEXT.fullmatch(text):
+            return _PARTS.findall(text.lower())
+        words = [w.decode() for w in text.encode().split()]
+        return [p for w in words for p in (_PARTS.findall(w.lower()) if _LATIN.fullmatch(w) else [w])]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().split() for t in texts]
-        of = self.words.learn(set().union(*cut))
-        return [b"".join([of[w] for w in own]) for own in cut]
+        """Of each text its ids as little-endian 32-bit numbers."""
+        return [b"".join(v) for v in self.parts.values([self.cut(t) for t in texts])]
 
 
 @lru_cache(maxsize=2)
