@@ -54,8 +54,7 @@ def spots(h: np.ndarray, chain: int = CHAIN) -> np.ndarray:
 def signature_sets(texts: list[str], cache: WordCache) -> list[np.ndarray]:
     """Of each text its spots; a text without any has one signature, its own hash, so equal texts always have equal sets."""
     cut = [plain_words(t) for t in texts]
-    of = cache.learn(set().union(*cut))
-    sets = [spots(np.array([of[w] for w in own], "u8")) for own in cut]
+    sets = [spots(np.array(v, "u8")) for v in cache.values(cut)]
     return [s if len(s) else np.array([xxhash.xxh64_intdigest(t)], "u8") for s, t in zip(sets, texts, strict=True)]
 
 

@@ -63,7 +63,7 @@ class ByteBpe:
             self.bytes_of[i] = bytes(back[c] for c in text)
         self.n_bytes = np.array([len(x) for x in self.bytes_of])
         self.decimal = [str(i).encode() for i in range(len(self.bytes_of))]
-        self.cache = WordCache(self._encode)
+        self.cache = WordCache(self._encode, most=600_000)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Of each piece its ids as little-endian 32-bit numbers.
@@ -89,9 +89,7 @@ class ByteBpe:
         return [text] if text and _EXOTIC.search(text) else _PIECES.findall(text)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        of = self.cache.learn(set().union(*cut))
-        return [np.frombuffer(b"".join([of[p] for p in pieces]), "<u4") for pieces in cut]
+        return [np.frombuffer(b"".join(v), "<u4") for v in self.cache.values([self.pieces(t) for t in texts])]
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Of each id the first character it has a part of and the one after its last; parts of one character share it."""

@@ -91,8 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         cache = WordCache(word_hashes)
         for batch in batches:
             cut = [plain_words(t) for t in batch.column("text").to_pylist()]
-            of = cache.learn(set().union(*cut))
-            rows = [np.unique(features(np.array([of[w] for w in own], "u8"))).astype("<u4").tobytes() for own in cut]
+            rows = [np.unique(features(np.array(v, "u8"))).astype("<u4").tobytes() for v in cache.values(cut)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "at": pa.array(rows, pa.binary())})
 
     got = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, at binary").toArrow()  # the sample is bounded
@@ -125,11 +124,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
         cache = WordCache(word_hashes)
         for batch in batches:
             cut = [plain_words(t) for t in batch.column("text").to_pylist()]
-            of = cache.learn(set().union(*cut))
             z = np.full(len(cut), bias)
-            for i, own in enumerate(cut):
+            for i, own in enumerate(cache.values(cut)):
                 if own:
-                    found = features(np.array([of[x] for x in own], "u8"))
+                    found = features(np.array(own, "u8"))
                     z[i] += table[np.unique(found[used[found]])].sum()
             p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype("i4"))})
