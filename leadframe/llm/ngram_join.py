@@ -81,8 +81,7 @@ def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
         cache, part = WordCache(word_hashes), TaskContext.get().partitionId()
         for at, batch in enumerate(batches):
             cut = [t.encode().lower().split() for t in batch.column("text").to_pylist()]
-            of = cache.learn(set().union(*cut))
-            sets = [shingles(np.array([of[w] for w in own], "u8"), size) for own in cut]
+            sets = [shingles(np.array(v, "u8"), size) for v in cache.values(cut)]
             sizes = np.array([len(s) for s in sets], "i4")
             flat = np.concatenate(sets) if sets else np.zeros(0, "u8")
             doc = np.repeat(np.arange(len(sets)), sizes)
@@ -274,7 +273,7 @@ def _linked_across(left: DataFrame, right: DataFrame, keys: list[str], num: int,
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     columns = ["doc_id", "n_shingles", "items"]
-    sides = [x.select(*keys, *columns).groupBy(*keys) for x in (left, right)]
+    sides = [x.select([F.col(c).alias(c) for c in (*keys, *columns)]).groupBy(*keys) for x in (left, right)]  # new names: both sides may stem from one table
     return sides[0].cogroup(sides[1]).applyInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
