@@ -254,27 +254,39 @@ def _linked_within(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _linked_across(left: DataFrame, right: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """u, v: links between left and right documents with equal keys, in blocks; equal documents are left out."""
+    """u, v: of each block (equal keys), every document that a link between left and right joins to a smaller one, and the smallest it reaches."""
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        u: list[int] = []
-        v: list[int] = []
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while root.setdefault(i, i) != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        def link(i: int, j: int) -> None:
+            if (x := find(i)) != (y := find(j)):
+                root[max(x, y)] = min(x, y)
+
         if a.num_rows and b.num_rows:
             ids, sizes, items = _lists(a)
             same: dict[tuple, list[int]] = {}
             for i, (n, x) in enumerate(zip(sizes, items, strict=True)):
                 same.setdefault((n, x.tobytes()) if n == len(x) else (i,), []).append(i)
             groups = list(same.values())
+            for g in groups:
+                for i in g[1:]:
+                    link(ids[g[0]], ids[i])
             tree = PrefixTree([items[g[0]] for g in groups], np.array([sizes[g[0]] for g in groups], "i8"), num, den)
             for doc, n, x in zip(*_lists(b), strict=True):
                 for g in tree.similar(x, n):
-                    own = [ids[i] for i in groups[g]]
-                    u += [doc] * len(own)
-                    v += own
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                    link(doc, ids[groups[g][0]])
+        u = [i for i in root if find(i) != i]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array([find(i) for i in u], pa.int64())})
 
     columns = ["doc_id", "n_shingles", "items"]
     sides = [x.select([F.col(c).alias(c) for c in (*keys, *columns)]).groupBy(*keys) for x in (left, right)]  # new names: both sides may stem from one table
-    return sides[0].cogroup(sides[1]).applyInArrow(run, "u long, v long").where("u <> v").distinct()
+    return sides[0].cogroup(sides[1]).applyInArrow(run, "u long, v long").distinct()
 
 
 def _linked_large(members: DataFrame, num: int, den: int) -> DataFrame:
