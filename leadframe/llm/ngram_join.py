@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,6 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(words: list[bytes]) -> list[int]:
-    import xxhash
-
     return [xxhash.xxh64_intdigest(w) for w in words]
 
 
@@ -63,9 +62,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, items: the shingles that other documents have too, in the global order; null where no other document can be similar.
+    """doc_id, n_shingles, items, same_a, same_b. items: the shingles that other documents have too, in the global order; null where no other document can be similar.
 
-    An item's upper bits hold the binary logarithm of its document count, the lower ones its hash.
+    An item's upper bits hold the binary logarithm of its document count, the lower ones its hash. same_a and same_b, a digest of the
+    items, are null where a document has a shingle of its own and so no equal.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -138,11 +138,13 @@ def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
         need = -(-sizes * num // den)
         alive = (sizes > 0) & (shared >= need) & np.array([i is not None for i in ids], bool)
         out = [items[e - s : e] if a else None for a, s, e in zip(alive, shared, ends, strict=True)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "items": pa.array(out, pa.list_(pa.int64()))})
+        digest = [xxhash.xxh3_128_intdigest(x.tobytes()) if x is not None and len(x) == n else None for x, n in zip(out, sizes, strict=True)]
+        halves = [pa.array([None if d is None else (d >> k & (1 << 64) - 1) - (1 << 63) for d in digest], pa.int64()) for k in (64, 0)]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "items": pa.array(out, pa.list_(pa.int64())), "same_a": halves[0], "same_b": halves[1]})
 
     wire = "bucket int, chunk long, blocks int, counts binary, data binary, ids array<long>, sizes array<int>"
     sent = docs.select("doc_id", "text").mapInArrow(send, wire)
-    return sent.groupBy("bucket").applyInArrow(answer, wire).groupBy("chunk").applyInArrow(gather, "doc_id long, n_shingles long, items array<long>")
+    return sent.groupBy("bucket").applyInArrow(answer, wire).groupBy("chunk").applyInArrow(gather, "doc_id long, n_shingles long, items array<long>, same_a long, same_b long")
 
 
 class PrefixTree:
@@ -291,7 +293,6 @@ def _linked_across(left: DataFrame, right: DataFrame, keys: list[str], num: int,
 
 def _linked_large(members: DataFrame, num: int, den: int) -> DataFrame:
     """node, component of loose components that no task should hold: pivots first, then whoever is not in the largest cluster against all."""
-    members = stored(members, "large")
     salts = F.ceil(F.col("docs") / BLOCK_DOCS).cast("int")
     salt = F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt")
     least = members.groupBy("loose").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id")).alias(f"p{k}") for k in range(PIVOTS)])
@@ -320,8 +321,13 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     """
     sets = stored(shared_shingles(documents(docs), size, num, den), "sets")
     alive = sets.where("items IS NOT NULL")
+    keys = ["n_shingles", "same_a", "same_b"]
+    equal = alive.where("same_a IS NOT NULL").select("doc_id", *keys)
+    copies = equal.join(equal.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), keys)
+    copies = stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "copies")  # of equal sets only the smallest doc_id is compared
     prefix = F.size("items") - F.ceil(F.col("n_shingles") * num / den) + 1
-    first = alive.select("doc_id", F.explode(F.slice("items", F.lit(1), prefix.cast("int"))).alias("item"))
+    first = alive.select("doc_id", F.slice("items", F.lit(1), prefix.cast("int")).alias("items")).join(copies, "doc_id", "left_anti")
+    first = first.select("doc_id", F.explode("items").alias("item"))
     least = first.groupBy("item").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     loose = components(first.join(least, "item").select(F.col("doc_id").alias("u"), "v").distinct())
     loose = loose.select(F.col("node").alias("doc_id"), F.col("component").alias("loose"))
@@ -329,11 +335,15 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     extent = measured.groupBy("loose").agg(F.count(F.lit(1)).alias("docs"), F.sum("k").alias("items_in"))
     loose = stored(measured.select("doc_id", "loose").distinct().join(extent, "loose"), "loose")
     total = loose.select("loose", "items_in").distinct().agg(F.sum("items_in")).first()[0] or 0
-    members = alive.join(loose, "doc_id")
     fits = (F.col("docs") <= BLOCK_DOCS) & (F.col("items_in") <= BLOCK_ITEMS)
+    members = alive.select("doc_id", "n_shingles", "items").join(loose, "doc_id")
+    large = loose.where(~fits).limit(1).count()
+    if large:
+        members = stored(members, "members")
     bins = max(1, int(np.ceil(total / (BLOCK_ITEMS / 2))))
     linked = _linked_within(members.where(fits).withColumn("bin", F.pmod(F.xxhash64("loose"), F.lit(bins))), num, den)
-    if loose.where(~fits).limit(1).count():
+    if large:
         linked = linked.union(_linked_large(members.where(~fits), num, den))
-    labels = linked.groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component"))
-    return sets.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labels = stored(linked.groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component")), "labels")
+    follow = copies.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct()
+    return sets.join(labels.union(follow), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
