@@ -180,26 +180,44 @@ class PrefixTree:
             if r - l > 1 or node[4] < 0:
                 todo += [(a, b, end, me) for a, b in zip(cuts, cuts[1:])]
 
-    def similar(self, a: np.ndarray, size: int) -> list[int]:
-        """Which sets have num/den or more of the union with set a in common."""
-        out, num, both = [], self.num, self.num + self.den
+        self.lists = [x.tolist() for x in self.leaf]
+        #: of each node a set that stands for all below it, once all of those are connected
+        self.stands = [n[4] if not n[3] else -1 for n in self.nodes]
+
+    def refresh(self, find) -> None:
+        """Notes which subtrees have become connected."""
+        for at in range(len(self.nodes) - 1, -1, -1):  # children come after their parents
+            if self.stands[at] < 0:
+                children, leaf = self.nodes[at][3], self.nodes[at][4]
+                below = [self.stands[c] for c in children] + ([leaf] if leaf >= 0 else [])
+                if min(below) >= 0 and len({find(x) for x in below}) == 1:
+                    self.stands[at] = below[0]
+
+    def similar(self, a: np.ndarray, size: int, known=None) -> list[int]:
+        """Which sets have num/den or more of the union with set a in common. known: tells which sets need no answer; a subtree of those is not entered."""
+        out, num, both, length = [], self.num, self.num + self.den, len(a)
+        place = {item: i for i, item in enumerate(a.tolist(), 1)}
         todo = [(0, 0, 0)] if self.nodes else []
         while todo:
             at, overlap, gone = todo.pop()
+            if known is not None and self.stands[at] >= 0 and known(self.stands[at]):
+                continue
             start, end, row, children, leaf, least, longest = self.nodes[at]
             need = -(-num * (size + least) // both)
-            if overlap + min(len(a) - gone, longest - start) < need:
+            if overlap + min(length - gone, longest - start) < need:
                 continue
-            if start < end:
-                segment = self.leaf[row][start:end]
-                where = np.searchsorted(a, segment)
-                overlap += int((a[np.minimum(where, len(a) - 1)] == segment).sum())
-                gone = int(where[-1])
-                if overlap + min(len(a) - gone, longest - end) < need:
-                    continue
-            if leaf >= 0 and overlap * both >= num * (size + int(self.sizes[leaf])):
-                out.append(leaf)
-            todo += [(c, overlap, gone) for c in children]
+            items = self.lists[row]
+            for d in range(start, end):
+                found = place.get(items[d])
+                if found is not None:
+                    overlap += 1
+                    gone = found
+                if overlap + min(length - gone, longest - d - 1) < need:
+                    break
+            else:
+                if leaf >= 0 and overlap * both >= num * (size + int(self.sizes[leaf])):
+                    out.append(leaf)
+                todo += [(c, overlap, gone) for c in children]
         return out
 
 
@@ -221,7 +239,9 @@ def link_block(ids: list[int], sizes: list[int], items: list[np.ndarray], num: i
         sets = [items[rep[k]] for k in range(left)]
         tree = PrefixTree(sets, np.array([sizes[rep[k]] for k in range(left)], "i8"), num, den)
         for k in range(len(sets)):
-            for other in tree.similar(sets[k], sizes[rep[k]]):
+            if k % 32 == 0:
+                tree.refresh(find)
+            for other in tree.similar(sets[k], sizes[rep[k]], lambda x, k=k: find(x) == find(k)):
                 if (a := find(k)) != (b := find(other)):
                     root[max(a, b)] = min(a, b)
                     left -= 1
@@ -280,8 +300,10 @@ def _linked_across(left: DataFrame, right: DataFrame, keys: list[str], num: int,
                 for i in g[1:]:
                     link(ids[g[0]], ids[i])
             tree = PrefixTree([items[g[0]] for g in groups], np.array([sizes[g[0]] for g in groups], "i8"), num, den)
-            for doc, n, x in zip(*_lists(b), strict=True):
-                for g in tree.similar(x, n):
+            for k, (doc, n, x) in enumerate(zip(*_lists(b), strict=True)):
+                if k % 32 == 0:
+                    tree.refresh(lambda g: find(ids[groups[g][0]]))
+                for g in tree.similar(x, n, lambda g, doc=doc: find(ids[groups[g][0]]) == find(doc)):
                     link(doc, ids[groups[g][0]])
         u = [i for i in root if find(i) != i]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array([find(i) for i in u], pa.int64())})
@@ -340,7 +362,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     large = loose.where(~fits).limit(1).count()
     if large:
         members = stored(members, "members")
-    bins = max(1, int(np.ceil(total / (BLOCK_ITEMS / 2))))
+    bins = max(1, int(np.ceil(total / (BLOCK_ITEMS / 8))))
     linked = _linked_within(members.where(fits).withColumn("bin", F.pmod(F.xxhash64("loose"), F.lit(bins))), num, den)
     if large:
         linked = linked.union(_linked_large(members.where(~fits), num, den))
