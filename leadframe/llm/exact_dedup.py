@@ -58,8 +58,12 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. doc_id is to be unique and not null; text moves only for this join."""
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs that stay, with all their columns. Text moves only for this join, and only ids beside it.
+
+    Rows of one doc_id stay or go together: they go when none of them is kept. Rows with a null doc_id stay.
+    """
+    gone = exact_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("any_kept")).where("NOT any_kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -178,6 +178,28 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
     return Model(languages, vocabulary(path)).fit([str(x) for x in names], table)
 
 
+class Judge:
+    """Languages of texts in a worker, with a cache of word likelihoods."""
+
+    def __init__(self, languages: list[str], names: list[str], probs: np.ndarray):
+        self.languages = languages
+        self.cache = WordCache(Model(languages, names, probs.astype("f8")).word_scores, most=200_000)
+
+    def languages_of(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
+        pred, score, letters = [], [], []
+        cut = [letter_words(t) for t in texts] if self.languages else [[]] * len(texts)
+        of = self.cache.learn(set().union(*cut))
+        for words in cut:
+            if not words:
+                pred.append("und"), score.append(0.0), letters.append(0)
+                continue
+            total = np.array([of[w] for w in words]).sum(0, dtype="f8")
+            scaled = np.exp((total - total.max()) / len(words) ** 0.5)
+            best = int(total.argmax())
+            pred.append(self.languages[best]), score.append(float(scaled[best] / scaled.sum())), letters.append(sum(map(len, words)))
+        return pred, score, letters
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, letters of each row of docs.
 
@@ -190,26 +212,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast((model.languages, model.names, model.probs.astype("f4")))  # vocabulary times languages: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, names, probs = shared.value
-        own = Model(languages, names, probs.astype("f8"))
-        cache = WordCache(own.word_scores, most=200_000)
+        judge = Judge(*shared.value)
         for batch in batches:
-            pred, score, letters = [], [], []
-            cut = [letter_words(t) for t in batch.column("text").to_pylist()] if languages else [[]] * len(batch)
-            of = cache.learn(set().union(*cut))
-            for words in cut:
-                if not words:
-                    pred.append("und"), score.append(0.0), letters.append(0)
-                    continue
-                total = np.array([of[w] for w in words]).sum(0, dtype="f8")
-                scaled = np.exp((total - total.max()) / len(words) ** 0.5)
-                best = int(total.argmax())
-                pred.append(languages[best]), score.append(float(scaled[best] / scaled.sum())), letters.append(sum(map(len, words)))
+            pred, score, letters = judge.languages_of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "letters": pa.array(letters, pa.int64())})
 
     return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, letters long")
 
 
+def in_known_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose language is not `und` and has a score of `least` or more, with all their columns, in one pass and without a shuffle."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast((model.languages, model.names, model.probs.astype("f4")))  # as in identify
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(*shared.value)
+        for batch in batches:
+            pred, score, _ = judge.languages_of([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, remainder: int):
     """Whether crc32 of doc_id's text leaves remainder; a null id is not held out."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))

@@ -106,6 +106,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     return at, w[at], float(w[-1])
 
 
+class Scorer:
+    """Scores of texts in a worker: a dense table of the weights and a cache of word hashes."""
+
+    def __init__(self, at: np.ndarray, weights: np.ndarray, bias: float):
+        self.table, self.used, self.bias = np.zeros(1 << BITS, "f8"), np.zeros(1 << BITS, bool), bias
+        self.table[at] = weights
+        self.used[at] = True
+        self.cache = WordCache(word_hashes)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        z = np.full(len(texts), self.bias)
+        for i, own in enumerate(self.cache.values([plain_words(t) for t in texts])):
+            if own:
+                found = features(np.array(own, "u8"))
+                z[i] += self.table[np.unique(found[self.used[found]])].sum()
+        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of each row of docs; a text's repeats of a feature count once, null and empty texts score the bias alone.
 
@@ -116,25 +134,28 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
     shared = spark.sparkContext.broadcast(model)  # the weights that L1 left; 2^20 at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, bias = shared.value
-        table = np.zeros(1 << BITS, "f8")
-        table[at] = w
-        used = np.zeros(1 << BITS, bool)
-        used[at] = True
-        cache = WordCache(word_hashes)
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            cut = [plain_words(t) for t in batch.column("text").to_pylist()]
-            z = np.full(len(cut), bias)
-            for i, own in enumerate(cache.values(cut)):
-                if own:
-                    found = features(np.array(own, "u8"))
-                    z[i] += table[np.unique(found[used[found]])].sum()
-            p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+            p = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype("i4"))})
 
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns, in one pass and without a shuffle. Nulls stay as they are; each of repeated rows is judged alike."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(model)  # as in score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores([t or "" for t in batch.column("text").to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: trained on labels that are not held out, applied to all."""
     model = train(docs, labels.where(~held_out(4, 2)))

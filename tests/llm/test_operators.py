@@ -286,3 +286,20 @@ def test_pipeline_keeps_whole_columns(spark):
         assert 0.7 * before < docs.count() <= before, name
     packed = pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_row_filters_agree_with_the_scores(docs, empty):
+    model = np.array([], "i8"), np.array([]), -3.0
+    assert sorted(toxicity.without_toxic(docs, model).collect(), key=str) == sorted(docs.collect(), key=str)
+    assert toxicity.without_toxic(docs, (*model[:2], 3.0)).count() == 0
+    learned = langid.train(docs)
+    want = {r["doc_id"] for r in langid.identify(docs, learned).where("lang_pred <> 'und' AND score >= 0.5").collect()}
+    kept = langid.in_known_language(docs, learned, 0.5)
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
+    assert toxicity.without_toxic(empty, model).count() == langid.in_known_language(empty, learned, 0.5).count() == 0
+
+
+def test_drop_copies_with_null_and_repeated_ids(spark):
+    rows = [(1, "a b"), (2, "ab"), (None, "ab"), (4, "own"), (4, "a  b"), (4, "own")]
+    out = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "ab"), (4, "a  b"), (4, "own"), (4, "own")]
