@@ -6,7 +6,6 @@ run() applies the stages in order. Each stage reads all that the one before it k
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leadframe.llm import exact_dedup, langid, ngram_join, packing, toxicity
 from leadframe.llm.common import stored
@@ -18,15 +17,12 @@ LEAST_SURE = 0.5
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, trained on all labels, does not predict to be toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    clean = toxicity.score(docs, model).where("predicted = 0").select("doc_id")
-    return docs.join(clean, "doc_id", "left_semi").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model can tell; those without a letter go."""
-    named = langid.identify(docs, langid.train(docs))
-    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return langid.in_known_language(docs, langid.train(docs), LEAST_SURE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +31,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents linked by a Jaccard of 0.8 or more of five-word shingles."""
-    kept = ngram_join.similar_groups(docs, size=5, num=8, den=10).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The smallest doc_id of each group of documents linked by a Jaccard of 0.8 or more of five-word shingles; rows with a null doc_id stay."""
+    gone = ngram_join.similar_groups(docs, size=5, num=8, den=10).where("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
