@@ -44,5 +44,16 @@ def denormalised(q: Column, low: Column, high: Column, levels: int = LEVELS) ->
 
 
 def hash32(key: Column, seed: int = 42) -> Column:
-    """A multiplicative hash in [0, 2^32) from integer arithmetic only; draws keyed by it do not depend on partitions."""
-    return F.pmod(key * F.lit(2654435761) + F.lit(seed), F.lit(1 << 32))
+    """A multiplicative hash in [0, 2^32) from integer arithmetic only; draws keyed by it do not depend on partitions.
+
+    key * 2654435761 + seed modulo 2^32, in 16-bit halves so that no key overflows.
+    """
+    wide = key.cast("long")
+    high, low = F.shiftright(wide, 16).bitwiseAND(F.lit(0xFFFF)), wide.bitwiseAND(F.lit(0xFFFF))
+    return F.pmod((high * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFF)) * F.lit(65536) + low * F.lit(2654435761) + F.lit(seed), F.lit(1 << 32))
+
+
+def uniform(seed: int, *key: Column) -> Column:
+    """A draw in (0, 1) from a digest of the key; draws of different seeds are unrelated."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)

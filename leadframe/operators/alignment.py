@@ -15,21 +15,14 @@ def normalised(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
 
 
-def gram(rows: DataFrame, key: str, vec: str) -> DataFrame:
-    """i, j, sim of all pairs. The statistic is defined over all pairs; views are evaluation sets of thousands of items, blocked beyond that by `neighbours_blocked`."""
-    a = rows.select(F.col(key).alias("i"), F.col(vec).alias("a"))
-    b = rows.select(F.col(key).alias("j"), F.col(vec).alias("b"))
-    return a.crossJoin(b).select("i", "j", dot(F.col("a"), F.col("b")).alias("sim"))
-
-
 def neighbours(sims: DataFrame, k: int) -> DataFrame:
-    """i, j, rank: the k nearest others; ties by id."""
+    """i, j, sim, rank: the k nearest others; ties by id."""
     w = Window.partitionBy("i").orderBy(F.desc("sim"), "j")
-    return sims.where("i <> j").select("i", "j", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
+    return sims.where("i <> j").select("i", "j", "sim", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
 
 
 def neighbours_blocked(rows: DataFrame, key: str, vec: str, k: int, block: int = 2048) -> DataFrame:
-    """The same for many items: blocks against blocks by matrix products, the k best of each block pair, then of all."""
+    """The same of rows, never all pairs at once: blocks against blocks by matrix products, the k best of each block pair, then of all."""
     import numpy as np
     import pandas as pd
 
@@ -63,25 +56,149 @@ def cycle_knn(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     return b.select("i", "j").join(back, ["i", "j"]).agg((F.countDistinct("i") / F.lit(float(n))).alias("cycle_knn"))
 
 
+def moments(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """p, q, kl, kk, ll: sums over all items of a[p] b[q], a[p] a[q] and b[p] b[q], dims squared rows; products of whole batches, summed in each partition before the shuffle."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                x, y = np.stack(batch["a"].to_numpy()), np.stack(batch["b"].to_numpy())
+                own = np.stack([x.T @ y, x.T @ x, y.T @ y])
+                total = own if total is None else total + own
+        if total is not None:
+            p, q = np.indices(total.shape[1:])
+            yield pd.DataFrame({"p": p.ravel(), "q": q.ravel(), "kl": total[0].ravel(), "kk": total[1].ravel(), "ll": total[2].ravel()})
+
+    parts = rows.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(run, "p int, q int, kl double, kk double, ll double")
+    return parts.groupBy("p", "q").agg(*[F.sum(c).alias(c) for c in ("kl", "kk", "ll")])
+
+
+def totals(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, sa, sb, the number of items and the sums of their vectors."""
+    def of(c: str, name: str) -> DataFrame:
+        sums = rows.select(F.posexplode(c).alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v"))
+        return sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias(name))  # a number for each dimension
+
+    return rows.agg(F.count(F.lit(1)).cast("double").alias("n")).crossJoin(of(a, "sa")).crossJoin(of(b, "sb"))  # one row each
+
+
 def linear_cka(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Biased linear CKA from centred column products: dimensions squared, never items squared."""
-    long = lambda c, name: rows.select("id", F.posexplode(c).alias(name, f"{name}_v"))
-
-    def squared(x: str, y: str):
-        left, right = long(x, "p"), long(y, "q")
-        means_l = left.groupBy("p").agg(F.avg("p_v").alias("pm"))
-        means_r = right.groupBy("q").agg(F.avg("q_v").alias("qm"))
-        both = left.join(F.broadcast(means_l), "p").join(right.join(F.broadcast(means_r), "q"), "id")  # a row for each dimension
-        return both.groupBy("p", "q").agg(F.sum((F.col("p_v") - F.col("pm")) * (F.col("q_v") - F.col("qm"))).alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("h"))
-
-    parts = [squared(x, y).withColumnRenamed("h", n) for n, (x, y) in {"kl": (a, b), "kk": (a, a), "ll": (b, b)}.items()]
-    one = parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each
-    return one.select((F.col("kl") / (F.sqrt(F.col("kk") * F.col("ll")) + F.lit(1e-6))).alias("cka"))
-
-
-def unbiased_hsic(pairs: DataFrame, m: int) -> Column | DataFrame:
-    """kl, kk, ll of zero-diagonal similarity columns k and l over all pairs i <> j."""
-    rows = pairs.groupBy("i").agg(F.sum("k").alias("rk"), F.sum("l").alias("rl"), F.sum(F.col("k") * F.col("l")).alias("xkl"), F.sum(F.col("k") * F.col("k")).alias("xkk"), F.sum(F.col("l") * F.col("l")).alias("xll"))
-    s = rows.agg(*[F.sum(c).alias(c) for c in ("rk", "rl", "xkl", "xkk", "xll")], F.sum(F.col("rk") * F.col("rl")).alias("pkl"), F.sum(F.col("rk") * F.col("rk")).alias("pkk"), F.sum(F.col("rl") * F.col("rl")).alias("pll"))
-    f = lambda x, a, b, p: (F.col(x) + F.col(a) * F.col(b) / F.lit(float((m - 1) * (m - 2))) - F.lit(2.0) * F.col(p) / F.lit(float(m - 2))) / F.lit(float(m * (m - 3)))
-    return s.select(f("xkl", "rk", "rl", "pkl").alias("kl"), f("xkk", "rk", "rk", "pkk").alias("kk"), f("xll", "rl", "rl", "pll").alias("ll"))
+    at = lambda s, i: F.element_at(s, F.col(i) + 1)
+    both = moments(rows, a, b).crossJoin(F.broadcast(totals(rows, a, b)))  # one row
+    centred = {n: F.col(n) - at(x, "p") * at(y, "q") / F.col("n") for n, x, y in (("kl", "sa", "sb"), ("kk", "sa", "sa"), ("ll", "sb", "sb"))}
+    h = both.agg(*[F.sum(c * c).alias(n) for n, c in centred.items()])
+    return h.select((F.col("kl") / (F.sqrt(F.col("kk") * F.col("ll")) + F.lit(1e-6))).alias("cka"))
+
+
+def _unbiased(x: str, a: str, b: str, p: str, m: Column) -> Column:
+    """The estimator from the sum of products x, the sums a and b and the product of row sums p."""
+    return (F.col(x) + F.col(a) * F.col(b) / ((m - 1) * (m - 2)) - F.lit(2.0) * F.col(p) / (m - 2)) / (m * (m - 3))
+
+
+def unbiased_linear_cka(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Zero-diagonal CKA of linear kernels. A row sum is the product of a vector with the sum of all, so no pair of items is formed."""
+    sums = totals(rows, a, b)
+    va, vb = F.col(a), F.col(b)
+    each = rows.crossJoin(F.broadcast(sums)).select("n", dot(va, va).alias("na"), dot(vb, vb).alias("nb"), dot(va, F.col("sa")).alias("ta"), dot(vb, F.col("sb")).alias("tb"))  # one row
+    each = each.select("n", "na", "nb", (F.col("ta") - F.col("na")).alias("ra"), (F.col("tb") - F.col("nb")).alias("rb"))
+    total = lambda x, y, name: F.sum(F.col(x) * F.col(y)).alias(name)
+    rowwise = each.agg(F.max("n").alias("n"), F.sum("ra").alias("sra"), F.sum("rb").alias("srb"), total("ra", "rb", "pkl"), total("ra", "ra", "pkk"), total("rb", "rb", "pll"), total("na", "nb", "dkl"), total("na", "na", "dkk"), total("nb", "nb", "dll"))
+    squares = moments(rows, a, b).agg(*[F.sum(F.col(c) * F.col(c)).alias(c) for c in ("kl", "kk", "ll")])
+    one = rowwise.crossJoin(squares).select("*", *[(F.col(c) - F.col(f"d{c}")).alias(f"x{c}") for c in ("kl", "kk", "ll")])  # one row each
+    m = F.col("n")
+    kl, kk, ll = _unbiased("xkl", "sra", "srb", "pkl", m), _unbiased("xkk", "sra", "sra", "pkk", m), _unbiased("xll", "srb", "srb", "pll", m)
+    return one.select((kl / (F.sqrt(kk * ll) + F.lit(1e-6))).alias("unbiased_cka"))
+
+
+def rbf_cka(rows: DataFrame, key: str, a: str, b: str, sigma: float = 1.0, block: int = 2048) -> DataFrame:
+    """Biased CKA of Gaussian kernels: the kernels of block pairs become row sums where they are made; a pair never leaves its task."""
+    import numpy as np
+    import pandas as pd
+
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.select(F.col(key).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"), F.pmod(F.xxhash64(key), F.lit(n)).alias("blk"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left, right = dealt.withColumn("other", each), dealt.withColumnRenamed("blk", "other").withColumn("blk", each)
+    names = ["k", "l", "kl", "kk", "ll"]
+
+    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        apart = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+        return np.exp(-np.maximum(apart, 0) / (2 * sigma**2))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({c: [] for c in ("id", *names)})
+        k, l = (kernel(np.stack(x[c].to_numpy()), np.stack(y[c].to_numpy())) for c in ("a", "b"))
+        return pd.DataFrame({"id": x["id"].to_numpy(), "k": k.sum(1), "l": l.sum(1), "kl": (k * l).sum(1), "kk": (k * k).sum(1), "ll": (l * l).sum(1)})
+
+    parts = left.groupBy("blk", "other").cogroup(right.groupBy("blk", "other")).applyInPandas(run, "id long, " + ", ".join(f"{c} double" for c in names))
+    by_row = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
+    pairs = {"kl": ("k", "l"), "kk": ("k", "k"), "ll": ("l", "l")}
+    s = by_row.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in names], *[F.sum(F.col(x) * F.col(y)).alias(f"p{c}") for c, (x, y) in pairs.items()])
+    h = {c: F.col(c) - F.lit(2.0) * F.col(f"p{c}") / F.col("n") + F.col(x) * F.col(y) / (F.col("n") * F.col("n")) for c, (x, y) in pairs.items()}
+    return s.select((h["kl"] / (F.sqrt(h["kk"] * h["ll"]) + F.lit(1e-6))).alias("rbf_cka"))
+
+
+def cknna(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """Unbiased CKA over the pairs that are neighbours in both views. a and b: i, j, sim of each item's nearest others."""
+    k, l = F.col("k"), F.col("l")
+    edges = a.select("i", "j", F.col("sim").alias("k")).join(b.select("i", "j", F.col("sim").alias("l")), ["i", "j"], "full")  # null: no neighbour there
+    both = k.isNotNull() & l.isNotNull()
+    sides = {"kl": (F.when(both, k), F.when(both, l)), "kk": (k, k), "ll": (l, l)}
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
+    split = edges.select("i", "j", *[c.alias(f"{v}{name}") for name, pair in sides.items() for v, c in zip("ab", pair, strict=True)])
+    turned = split.select(F.col("j").alias("i"), F.col("i").alias("j"), *[F.col(f"b{c}").alias(f"t{c}") for c in sides])  # neighbourhood is not symmetric
+    products = split.join(turned, ["i", "j"]).agg(*[total(F.col(f"a{c}") * F.col(f"t{c}"), f"x{c}") for c in sides])
+    columns = split.groupBy(F.col("j").alias("i")).agg(*[total(F.col(f"a{c}"), f"a{c}") for c in sides])
+    rows = split.groupBy("i").agg(*[total(F.col(f"b{c}"), f"b{c}") for c in sides])
+    cross = columns.join(rows, "i", "full").agg(*[total(F.col(f"a{c}") * F.col(f"b{c}"), f"p{c}") for c in sides], *[total(F.col(f"{v}{c}"), f"s{v}{c}") for v in "ab" for c in sides])
+    one = products.crossJoin(cross)  # one row each
+    kl, kk, ll = (_unbiased(f"x{c}", f"sa{c}", f"sb{c}", f"p{c}", F.lit(float(n))) for c in sides)
+    return one.select((kl / (F.sqrt(kk * ll) + F.lit(1e-6))).alias("cknna"))
+
+
+def svcca(rows: DataFrame, a: str, b: str, dims: int = 10) -> float:
+    """Mean canonical correlation of the leading `dims` singular directions of the standardised views.
+
+    The directions' correlations follow from the views' products, dims squared numbers, which come to the driver; items do not.
+    """
+    import numpy as np
+
+    one = totals(rows, a, b).first()
+    n, means = one["n"], (np.array(one["sa"]), np.array(one["sb"]))
+    got = moments(rows, a, b).toPandas().sort_values(["p", "q"])
+    d = len(means[0])
+    product = {c: got[c].to_numpy().reshape(d, d) - np.outer(means[x], means[y]) / n for c, x, y in (("kl", 0, 1), ("kk", 0, 0), ("ll", 1, 1))}
+    scale = [np.sqrt(np.diag(product[c]) / (n - 1)) + 1e-8 for c in ("kk", "ll")]
+    kl, kk, ll = product["kl"] / np.outer(*scale), product["kk"] / np.outer(scale[0], scale[0]), product["ll"] / np.outer(scale[1], scale[1])
+
+    def leading(x: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(x)
+        top = values.argsort()[::-1][:dims]
+        return vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))
+
+    return float(np.linalg.svd(leading(kk).T @ kl @ leading(ll), compute_uv=False).clip(0, 1).mean())
+
+
+METRICS = ("mutual_knn", "cycle_knn", "lcs_knn", "edit_distance_knn", "cka", "unbiased_cka", "cknna", "svcca")
+
+
+def check_metric(name: str) -> str:
+    if name not in METRICS:
+        raise ValueError(f"unknown alignment metric {name}")
+    return name
+
+
+def looked_up(tokens: DataFrame, vectors: DataFrame, token: str, vec: str, dims: int) -> DataFrame:
+    """tokens with the vector of each; pads and unknown tokens have zeros."""
+    return tokens.join(vectors, token, "left").withColumn(vec, F.coalesce(F.col(vec), F.array_repeat(F.lit(0.0), dims)))
+
+
+def scattered(rows: DataFrame, written: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """rows with the vectors written at their keys; all-zero vectors are not written."""
+    new = written.select(*keys, F.col(vec).alias("_new")).where(F.exists("_new", lambda x: x != 0))
+    return rows.join(new, keys, "left").withColumn(vec, F.coalesce("_new", vec)).drop("_new")

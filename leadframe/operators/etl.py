@@ -58,8 +58,18 @@ def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def sample_exact(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows (or all) in the order of a hash of key."""
-    return rows.withColumn("_h", hash32(F.col(key), seed)).orderBy("_h", key).limit(n).drop("_h")
+    """The n rows (or all) with the smallest hashes of key. Only the hash bucket in which the n-th row lies is sorted."""
+    hashed = rows.withColumn("_h", hash32(F.col(key), seed)).withColumn("_b", F.shiftright("_h", 16))
+    below, edge = 0, None
+    for bucket, count in sorted((r["_b"], r["n"]) for r in hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()):  # 65536 buckets at most
+        if below + count > n:
+            edge = bucket
+            break
+        below += count
+    if edge is None:
+        return rows
+    rest = hashed.where(F.col("_b") == edge).orderBy("_h", key).limit(n - below)
+    return hashed.where(F.col("_b") < edge).unionByName(rest).drop("_h", "_b")
 
 
 def sample_fraction(rows: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -113,3 +123,30 @@ def segment_stem(path: Column, index: Column) -> Column:
 def decoded(text: Column, schema: str) -> Column:
     """JSON of a schema, null where it does not parse; the raw text stays beside it."""
     return F.from_json(text, schema)
+
+
+#: What a representation of the signal may be joined with.
+ENCODERS = {"token": {None, "signal2vec"}, "image": {"clip", "siglip", "vit"}, "stacked_signal": {"clip", "siglip", "vit"}, "signal": {"st_mem", "merl", "mtae", "mlae", "projection"}}
+
+
+def check_encoder(representation: str, encoder: str | None) -> None:
+    """Raises where the encoder does not take the representation."""
+    if representation not in ENCODERS:
+        raise ValueError(f"unknown representation {representation}")
+    if encoder not in ENCODERS[representation]:
+        raise ValueError(f"{representation} does not go with encoder {encoder}")
+
+
+def line_counts(texts: DataFrame, text: str, comment: str = "#") -> DataFrame:
+    """lines, code_lines: all lines, and those that are neither blank nor begin with the comment sign."""
+    line = texts.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
+    code = (F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit(comment))
+    return line.agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(code, 1)).alias("code_lines"))
+
+
+def runs(rows: DataFrame, keys: list[str], order: list[str], inside: Column) -> DataFrame:
+    """keys, first, past: half-open position ranges of neighbouring rows for which `inside` holds."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    placed = rows.select(*keys, *order, (F.row_number().over(w) - 1).cast("long").alias("_at"), F.coalesce(inside, F.lit(False)).alias("_in"))
+    island = placed.where("_in").withColumn("_g", F.col("_at") - F.row_number().over(w))
+    return island.groupBy(*keys, "_g").agg(F.min("_at").alias("first"), (F.max("_at") + 1).alias("past")).drop("_g")

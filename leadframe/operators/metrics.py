@@ -9,6 +9,8 @@ from leadframe.functions import r6
 
 from leadframe.functions.kernels import t_quantile
 
+from .alignment import dot, normalised
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -48,3 +50,14 @@ def run_statistics(runs: DataFrame, metric: str, value: str) -> DataFrame:
     quantiles = F.create_map(*[F.lit(x) for k in range(1, 31) for x in (k, t_quantile(0.975, k))])
     std = F.stddev_samp(F.col(value) * 100)
     return runs.groupBy(metric).agg(n.alias("runs"), r6(F.avg(F.col(value) * 100)).alias("mean"), r6(std).alias("std"), r6(F.element_at(quantiles, F.least(n, F.lit(31)).cast("int") - 1) * std / F.sqrt(n.cast("double"))).alias("half_width"))
+
+
+def greedy_match(ref: Column, hyp: Column) -> Column:
+    """precision, recall, f1 of two arrays of token vectors: the mean of each token's largest cosine on the other side; 0 where a side is empty."""
+    def best(of: Column, among: Column) -> Column:
+        among = F.transform(among, normalised)
+        each = F.transform(F.transform(of, normalised), lambda x: F.array_max(F.transform(among, lambda y: dot(x, y))))
+        return F.when((F.size(of) > 0) & (F.size(among) > 0), F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(of)).otherwise(0.0)
+
+    p, r = best(hyp, ref), best(ref, hyp)
+    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadframe.functions import clean, denormalised, letter, letter_level, level, r6, unit
+from leadframe.functions import clean, denormalised, letter, letter_level, level, r6, uniform, unit
 
 #: Lead permutations of the corpora whose recordings come in another order; fixed values.
 LEAD_ORDER = {"mimic": [0, 1, 2, 5, 3, 4, 6, 7, 8, 9, 10, 11], "code15": [0, 1, 2, 4, 3, 5, 6, 7, 8, 9, 10, 11]}
 
 
-def records(samples: DataFrame, record: str, order: list[str], value: str = "value") -> DataFrame:
+def records(samples: DataFrame, record: str | list[str], order: list[str], value: str = "value") -> DataFrame:
     """One row per record: low, high, ordered values. One shuffle; a record is bounded by its duration."""
     row = F.struct(*order, clean(F.col(value)).alias("v"))
     return samples.groupBy(record).agg(F.min(clean(F.col(value))).alias("low"), F.max(clean(F.col(value))).alias("high"), F.transform(F.array_sort(F.collect_list(row)), lambda x: x["v"]).alias("values"))
 
 
-def symbolise(samples: DataFrame, record: str, order: list[str], value: str = "value") -> DataFrame:
+def symbolise(samples: DataFrame, record: str | list[str], order: list[str], value: str = "value") -> DataFrame:
     """record, symbols: min-max over all leads, 26 levels, letters, lead after lead."""
-    return records(samples, record, order, value).select(record, F.array_join(F.transform("values", lambda v: letter(level(unit(v, F.col("low"), F.col("high"))))), "").alias("symbols"))
+    keys = [record] if isinstance(record, str) else record
+    return records(samples, record, order, value).select(*keys, F.array_join(F.transform("values", lambda v: letter(level(unit(v, F.col("low"), F.col("high"))))), "").alias("symbols"))
 
 
 def reconstruction_error(samples: DataFrame, record: str, value: str = "value") -> DataFrame:
@@ -92,3 +93,18 @@ def patch_size(length: int) -> int:
     if not found:
         raise ValueError(f"no patch size for {length} samples")
     return min(found)[1]
+
+
+def noisy(samples: DataFrame, record: str, lead: str, order: list[str], sample: str, value: str = "value", seed: int = 11) -> DataFrame:
+    """samples with noise in half the records, 5 % of the record's deviation, and in half of those a baseline wander of 7 % of its largest value, 1 to 5 half cycles in each lead.
+
+    Draws are digests of `sample`, the key of a row, and of `record`, so they do not depend on partitions.
+    """
+    stats = samples.groupBy(record).agg(F.stddev_pop(value).alias("_s"), F.max(F.abs(F.col(value))).alias("_m"))
+    placed = with_position(samples, [record, lead], order, "_i").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(record, lead)))
+    own, each = F.col(record), F.col(sample)
+    normal = F.sqrt(F.lit(-2.0) * F.log(uniform(seed, each))) * F.cos(F.lit(2.0) * F.pi() * uniform(seed + 1, each))
+    cycles = F.floor(uniform(seed + 4, own) * 5) + 1
+    wander = F.lit(0.07) * F.col("_m") * F.sin(cycles * F.pi() * F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1)))
+    added = F.lit(0.05) * F.col("_s") * normal + F.when(uniform(seed + 3, own) < 0.5, wander).otherwise(0.0)
+    return placed.join(stats, record).withColumn(value, F.col(value) + F.when(uniform(seed + 2, own) < 0.5, added).otherwise(0.0)).drop("_s", "_m", "_i", "_n")

@@ -67,10 +67,10 @@ def q16_type_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase")).select("event_id", "user_id", "event_type")
 
 
-@query("WITH p AS (SELECT doc_id FROM documents WHERE doc_id < 500) SELECT doc_id FROM p ORDER BY (doc_id * 2654435761 + 42) % 4294967296, doc_id LIMIT 300")
-def q17_prefix_then_sample(spark, sf_dir):
-    """The development prefix, then an exact sample of it by hash order."""
-    return etl.sample_exact(table(spark, sf_dir, "documents").where("doc_id < 500").select("doc_id"), "doc_id", 300)
+@query("SELECT doc_id FROM documents ORDER BY (doc_id * 2654435761 + 42) % 4294967296, doc_id LIMIT (SELECT greatest(1, floor(0.6 * count(*))::BIGINT) FROM documents)")
+def q17_sample_fraction(spark, sf_dir):
+    """An exact sample of 60 % by hash order."""
+    return etl.sample_fraction(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.6)
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS digest, arg_min(lang, doc_id) AS lang FROM documents GROUP BY text")
@@ -123,10 +123,10 @@ def q24_grouped_folds(spark, sf_dir):
     return etl.folds(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
 
 
-@query("SELECT CASE WHEN doc_id < 400 THEN 'train' ELSE 'test' END AS split, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id < 600 GROUP BY 1")
+@query("SELECT CASE WHEN doc_id < 400 THEN 'train' ELSE 'test' END AS split, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def q25_split_prefix(spark, sf_dir):
-    """Prefix limits as predicates on an explicit row index, so they reach the scan."""
-    rows = table(spark, sf_dir, "documents").where("doc_id < 600")
+    """The first 400 rows train, all others test; a split is a predicate on an explicit row index."""
+    rows = table(spark, sf_dir, "documents")
     return rows.groupBy(F.when(F.col("doc_id") < 400, "train").otherwise("test").alias("split")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -153,3 +153,15 @@ def q32_zero_fill(spark, sf_dir):
     by = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("s_suppkey").alias("suppliers"), F.sum("s_acctbal").alias("b"))
     rows = table(spark, sf_dir, "nation").select("n_nationkey").join(by, "n_nationkey", "left")
     return rows.select("n_nationkey", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), (F.floor(F.coalesce("b", F.lit(0.0)) * 100 + 0.5) / 100).alias("balance"))
+
+
+@query("SELECT count(*) AS lines, count(*) FILTER (trim(line) <> '' AND NOT starts_with(trim(line), '#')) AS code_lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
+def q35_line_counts(spark, sf_dir):
+    return etl.line_counts(table(spark, sf_dir, "documents"), "text")
+
+
+@query("""WITH p AS (SELECT user_id, event_type <> 'view' AS inside, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS island FROM p WHERE inside) SELECT user_id, min(pos)::BIGINT AS first, (max(pos) + 1)::BIGINT AS past FROM g GROUP BY user_id, island""")
+def q36_response_ranges(spark, sf_dir):
+    """Ranges of a user's neighbouring events that are no views."""
+    return etl.runs(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], F.col("event_type") != "view")

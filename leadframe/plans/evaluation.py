@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadframe.functions import r6
 from leadframe.functions.kernels import longest_common
+from leadframe.functions.stems import meteor
 from leadframe.operators import metrics, text
 from leadframe.session import table
 
@@ -145,3 +146,24 @@ def q70_run_statistics(spark, sf_dir):
 def q71_answer(spark, sf_dir):
     said = F.concat(F.lit("Reasoning. Answer: none. Answer: "), F.substring("text", 1, 20), F.lit(" . "))
     return table(spark, sf_dir, "documents").select("doc_id", text.answer(said).alias("answer"))
+
+
+@query()
+def q72_meteor(spark, sf_dir):
+    """METEOR by exact words, then stems; no synonyms."""
+    @F.pandas_udf("double")
+    def score(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        return pd.Series([meteor(r.split(), h.split()) for r, h in zip(ref, hyp, strict=True)])
+
+    return pairs(spark, sf_dir).select("conv_id", "turn", r6(score("ref", "hyp")).alias("meteor_es"))
+
+
+@query(f"""WITH x AS (SELECT vec_id, list_transform(range(0, 8), lambda i: embedding[i * 4 + 1 : i * 4 + 4]::DOUBLE[]) AS r, list_transform(range(8, 16), lambda i: embedding[i * 4 + 1 : i * 4 + 4]::DOUBLE[]) AS h FROM embeddings),
+s AS (SELECT vec_id, list_sum(list_transform(h, lambda a: list_max(list_transform(r, lambda b: list_cosine_similarity(a, b))))) / 8 AS p, list_sum(list_transform(r, lambda a: list_max(list_transform(h, lambda b: list_cosine_similarity(a, b))))) / 8 AS q FROM x)
+SELECT vec_id, {R6.format('p')} AS precision, {R6.format('q')} AS recall, {R6.format('CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END')} AS f1 FROM s""")
+def q73_greedy_match(spark, sf_dir):
+    """The token-vector score of each embedding's halves, taken as eight vectors of four."""
+    e = F.col("embedding").cast("array<double>")
+    side = lambda first: F.array(*[F.slice(e, i * 4 + 1, 4) for i in range(first, first + 8)])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", metrics.greedy_match(side(0), side(8)).alias("s"))
+    return rows.select("vec_id", *[r6(F.col(f"s.{c}")).alias(c) for c in ("precision", "recall", "f1")])

@@ -167,3 +167,15 @@ def q53_learning_rate(spark, sf_dir):
     s = F.greatest(F.col("step"), F.lit(1)).cast("double")
     lr = F.greatest(F.lit(1e-4) * F.sqrt(F.lit(500.0)) * F.least(1 / F.sqrt(s), s * F.pow(F.lit(500.0), F.lit(-1.5))), F.lit(1e-8))
     return spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 1, 250, 500, 2000, 10000)])).alias("step")).select("step", (F.floor(lr * 1e12 + 0.5) / 1e12).alias("lr"))
+
+
+def _draw(seed: int, key: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)"
+
+
+@query(f"""WITH {PLACED}, s AS (SELECT user_id, stddev_pop(value) AS s, max(abs(value)) AS m FROM events GROUP BY 1)
+SELECT event_id, {R6.format(f"value + CASE WHEN {_draw(13, 'user_id')} < 0.5 THEN 0.05::DOUBLE * s * sqrt(-2 * ln({_draw(11, 'event_id')})) * cos(2 * pi() * {_draw(12, 'event_id')}) + CASE WHEN {_draw(14, 'user_id')} < 0.5 THEN 0.07::DOUBLE * m * sin((floor({_draw(15, 'user_id')} * 5) + 1) * pi() * idx / greatest(n - 1, 1)) ELSE 0.0 END ELSE 0.0 END")} AS value FROM p JOIN s USING (user_id)""")
+def q95_noise(spark, sf_dir):
+    """Seeded noise and baseline wander."""
+    rows = signal.noisy(table(spark, sf_dir, "events").select("event_id", *LEAD, "ts", "value"), "user_id", "event_type", ORDER, "event_id")
+    return rows.select("event_id", r6(F.col("value")).alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadframe.functions import r6
-from leadframe.operators import tokens
+from leadframe.operators import tokens, vectors
 from leadframe.session import table
 
 from .registry import query
@@ -106,3 +106,11 @@ def q52_ragged_pad(spark, sf_dir):
     rows = rows.withColumn("ids", F.filter("ids", lambda x: x > 0))
     width = F.max(F.size("ids")).over(Window.partitionBy(F.floor(F.col("user_id") / 8)))
     return rows.withColumn("w", width).select("user_id", F.array_join(F.concat("ids", F.array_repeat(F.lit(-2), F.col("w") - F.size("ids"))).cast("array<string>"), " ").alias("padded"))
+
+
+@query()
+def q56_skip_gram_vectors(spark, sf_dir):
+    """Vectors of the symbols, trained on the pair counts of all records."""
+    counted = tokens.skip_gram_pairs(tokens.exploded(symbols(spark, sf_dir), "user_id", "symbols"), "user_id", "pos", "c", 2)
+    names, trained, _ = vectors.train(counted)
+    return spark.createDataFrame([(t, v.tolist()) for t, v in zip(names, trained, strict=True)], "token string, vector array<double>")
