@@ -26,14 +26,13 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_dedup.drop_copies(docs)
+    """One row of each group of equal texts, null and repeated ids included."""
+    return exact_dedup.one_of_each(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents linked by a Jaccard of 0.8 or more of five-word shingles; rows with a null doc_id stay."""
-    gone = ngram_join.similar_groups(docs, size=5, num=8, den=10).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that of the smallest doc_id, of each group linked by a Jaccard of 0.8 or more of five-word shingles."""
+    return ngram_join.one_of_each(docs, size=5, num=8, den=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 #: Arrow batches hand whole texts to Python; a small row count bounds a batch of very long ones.
 BATCH_ROWS = 1000
 
+#: The column that tells a stored table's rows apart, whatever their ids.
+ROW = "_leadframe_row"
+
 
 def prepare(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch, once for a session."""
@@ -53,6 +56,11 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def with_rows(docs: DataFrame, label: str) -> DataFrame:
+    """docs, stored, with a key of each row in ROW: written once, so it is the same at each read."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def with_slots(df: DataFrame, group: list[str], tie: list[str], label: str, rows_per_bucket: int = 8192) -> DataFrame:
     """df with `slot`, gapless from 0 in each group, in the order of a hash of `tie`.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, stored
+from .common import ROW, SPACE_CLASS, documents, stored, with_rows
 
 PREFIX_CHARS = 64
 
@@ -27,14 +27,19 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     with the most code points stays, then the smallest doc_id (a null id comes last), then the first of repeated rows, so
     exactly one row of each group has kept. An empty table gives an empty result; other columns are not looked at.
     """
+    return _marked(docs, F.monotonically_increasing_id(), prefix_chars).drop("row")
+
+
+def _marked(docs: DataFrame, row: Column, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """What exact_dedup gives, and the key of each row."""
     text = F.col("text")
-    rows = documents(docs).select(
+    rows = documents(docs, row.alias("row")).select(
         "doc_id",
         F.char_length(text).cast("long").alias("n_chars"),
         F.octet_length(normalised(text)).alias("norm_len"),
         F.xxhash64(F.substring(normalised(text), 1, prefix_chars)).alias("prefix"),
         F.sha2(F.encode(normalised(text), "UTF-8"), 256).alias("text_sha256"),
-        F.monotonically_increasing_id().alias("row"),
+        "row",
     )
     rows = stored(rows, "exact")
     lengths = rows.groupBy("norm_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("norm_len")
@@ -54,9 +59,20 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
         (F.col("size").isNull() | (F.col("row") == -F.col("best.neg_row"))).alias("kept"),
         "text_sha256",
         "n_chars",
+        "row",
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns: one of each group of equal texts, whatever its ids.
+
+    Rows are decided one by one: repeated rows of a doc_id and rows with a null doc_id are copies like any others.
+    """
+    keyed = with_rows(docs, "exact-rows")
+    gone = _marked(keyed, F.col(ROW)).where("NOT kept").select(F.col("row").alias(ROW))
+    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Text moves only for this join, and only ids beside it.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, mix64, prepare, stored
+from .common import ROW, WordCache, documents, mix64, prepare, stored, with_rows
 from .graph import components
 
 BITS = 58
@@ -369,3 +369,17 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     labels = stored(linked.groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component")), "labels")
     follow = copies.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct()
     return sets.join(labels.union(follow), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row of each group of linked texts, with all its columns: that of the smallest doc_id (a null id comes last), then the first of repeated rows.
+
+    Each row is a node of its own, so repeated rows of a doc_id and rows with a null doc_id are linked by their texts like any others.
+    """
+    keyed = with_rows(docs, "near-rows")
+    groups = similar_groups(keyed.select(F.col(ROW).alias("doc_id"), "text"), size, num, den)
+    groups = stored(groups.select(F.col("doc_id").alias(ROW), "component_id"), "near-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    best = groups.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order)[ROW].alias("best"))
+    gone = groups.join(best, "component_id").where(F.col(ROW) != F.col("best")).select(ROW)
+    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
