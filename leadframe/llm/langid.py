@@ -19,10 +19,8 @@ from .common import WordCache, documents, prepare
 
 #: Longest piece and longest run of letters scored as one word; longer runs are scored in parts, all of them.
 PIECE_CHARS, WORD_CHARS = 8, 32
-#: The training sample holds about so many documents of each language, chosen by a hash of doc_id.
+#: The training sample holds about so many documents of each language, chosen by a hash of doc_id; all their words are fitted.
 SAMPLE_DOCS = 600
-#: A sampled document's words are all used; of each language the so many most frequent words are fitted.
-SAMPLE_WORDS = 40_000
 FLOOR = 1e-7
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -148,9 +146,12 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from doc_id, text and non-null lang of labelled. It reads a sample: about sample_docs documents of each language, whole texts."""
+    """A model from doc_id, text and non-null lang of labelled. It reads a sample: about sample_docs documents of each language, whole texts.
+
+    Documents without a letter teach nothing and are not drawn; a language that has no others is no language of the model.
+    """
     spark = labelled.sparkSession
-    rows = documents(labelled.where("lang IS NOT NULL"), "lang")
+    rows = documents(labelled.where("lang IS NOT NULL"), "lang").where(F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], vocabulary(path))
@@ -168,13 +169,14 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in own], pa.string()), "word": pa.array([k[1] for k in own], pa.string()), "n": pa.array(list(own.values()), pa.int64())})
 
     words = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    languages = sorted(counts)
-    top = words.orderBy(F.desc("n"), "word", "lang").limit(SAMPLE_WORDS * len(languages)).toPandas()
-    if top.empty:
-        return Model(languages, vocabulary(path))
-    names, at = np.unique(top["word"].to_numpy(str), return_inverse=True)
+    seen = words.toPandas()  # the words of sample_docs documents of each language
+    if seen.empty:
+        return Model([], vocabulary(path))
+    languages, of = np.unique(seen["lang"].to_numpy(str), return_inverse=True)
+    names, at = np.unique(seen["word"].to_numpy(str), return_inverse=True)
+    languages = [str(x) for x in languages]
     table = np.zeros((len(names), len(languages)))
-    table[at, [languages.index(x) for x in top["lang"]]] = top["n"]
+    table[at, of] = seen["n"]
     return Model(languages, vocabulary(path)).fit([str(x) for x in names], table)
 
 
