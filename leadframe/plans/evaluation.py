@@ -148,6 +148,16 @@ def q71_answer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.answer(said).alias("answer"))
 
 
+@query(r"""WITH s AS (SELECT doc_id, substr(text, 1, length(text) // 2) || ' Answer: ' || substr(text, length(text) // 2 + 1) AS said FROM documents),
+a AS (SELECT doc_id, regexp_replace(trim(string_split(said, 'Answer:')[-1]), '[ .]+$', '') AS answer FROM s) SELECT doc_id, length(answer)::BIGINT AS n_chars, md5(answer) AS answer FROM a""")
+def q74_answer_whole(spark, sf_dir):
+    """The whole text with an `Answer:` in its middle; what follows the last one, as a digest."""
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    said = F.concat(F.substring("text", F.lit(1), half), F.lit(" Answer: "), F.substring("text", half + 1, F.char_length("text")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.answer(said).alias("answer"))
+    return rows.select("doc_id", F.char_length("answer").cast("long").alias("n_chars"), F.md5(F.encode("answer", "UTF-8")).alias("answer"))
+
+
 @query()
 def q72_meteor(spark, sf_dir):
     """METEOR by exact words, then stems; no synonyms."""
