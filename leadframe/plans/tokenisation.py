@@ -108,6 +108,16 @@ def q52_ragged_pad(spark, sf_dir):
     return rows.withColumn("w", width).select("user_id", F.array_join(F.concat("ids", F.array_repeat(F.lit(-2), F.col("w") - F.size("ids"))).cast("array<string>"), " ").alias("padded"))
 
 
+@query(CHARS + """, a AS (SELECT user_id, list(ascii(c) ORDER BY pos) AS ids FROM c GROUP BY 1), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY user_id // 8) AS w FROM a)
+SELECT user_id, array_to_string(list_concat(ids, list_transform(range(w - len(ids)), lambda x: -2)), ' ') AS padded FROM m""")
+def q57_ragged_pad_whole(spark, sf_dir):
+    """Batches of eight records, whole symbol strings padded with -2 to the longest of the batch."""
+    rows = symbols(spark, sf_dir).select("user_id", F.transform(F.split("symbols", ""), lambda c: F.ascii(c)).alias("ids"))
+    rows = rows.withColumn("ids", F.filter("ids", lambda x: x > 0))
+    width = F.max(F.size("ids")).over(Window.partitionBy(F.floor(F.col("user_id") / 8)))
+    return rows.withColumn("w", width).select("user_id", F.array_join(F.concat("ids", F.array_repeat(F.lit(-2), F.col("w") - F.size("ids"))).cast("array<string>"), " ").alias("padded"))
+
+
 @query()
 def q56_skip_gram_vectors(spark, sf_dir):
     """Vectors of the symbols, trained on the pair counts of all records."""

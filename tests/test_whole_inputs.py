@@ -12,3 +12,8 @@ def test_answer_reads_the_end_of_the_text(spark):
     rows = registry.queries()["q74_answer_whole"](spark, SF).join(table(spark, SF, "documents").selectExpr("doc_id", "char_length(text) AS n"), "doc_id").collect()
     assert rows and all(r["n_chars"] <= (r["n"] + 1) // 2 for r in rows)
     assert any(r["n_chars"] > 20 for r in rows)
+
+
+def test_padding_keeps_every_symbol(spark):
+    rows = registry.queries()["q57_ragged_pad_whole"](spark, SF).collect()
+    assert sum(x != "-2" for r in rows for x in r["padded"].split()) == table(spark, SF, "events").count()
