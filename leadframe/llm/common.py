@@ -1,4 +1,4 @@
-"""What the operators share: shared storage, distributed ranks, word splitting, bounded caches."""
+"""What the operators share: shared storage, joins that bear hot keys, distributed ranks, word splitting, bounded caches."""
 
 from __future__ import annotations
 
@@ -6,25 +6,45 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts write it.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
-#: Arrow batches hand whole texts to Python; a small row count bounds a batch of very long ones.
-BATCH_ROWS = 1000
+#: What a worker handles at once: so many rows, and so many bytes of text unless one text alone is longer.
+PART_ROWS, PART_BYTES = 1000, 8_000_000
+
+#: A key with more than this part of a table's rows is joined by broadcast; there are fewer than HOT_PART such keys.
+HOT_PART = 1000
+
+#: Row keys that a broadcast holds at most (some 16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 #: The column that tells a stored table's rows apart, whatever their ids.
 ROW = "_leadframe_row"
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, once for a session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+_folder: ContextVar[str | None] = ContextVar("leadframe_folder", default=None)
+
+
+def small_parts(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that none has more than PART_ROWS rows or PART_BYTES bytes in `column`, single rows excepted."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8")
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right"))
+            to = min(max(to, at + 1), at + PART_ROWS)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,18 +59,65 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "leadframe-checkpoints")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/leadframe-{label}-{uuid.uuid4().hex}"
+    """A new path in the run's folder, or in the shared folder; there it is removed when the application ends."""
+    if inside := _folder.get():
+        return f"{inside}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leadframe-{label}-{uuid.uuid4().hex}"
+    system, where = _hadoop_path(spark, path)
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return f"{path}/data"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    system, where = _hadoop_path(spark, path)
+    system.delete(where, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession, label: str) -> Iterator[None]:
+    """Intermediate tables made within share one folder, which goes at the end: what is to stay must have been written elsewhere."""
+    path = fresh_path(spark, label)
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        removed(spark, path)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage ends there, and lost executors take nothing with them."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = path or fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str = "inner", count: str = "n") -> DataFrame:
+    """rows joined with groups (inner, left or left_semi), a table with one row for each key of non-null columns `on`, `count` of them in rows.
+
+    Keys that have more than 1/HOT_PART of all `total` rows are fewer than HOT_PART: they are broadcast, so their rows stay
+    where they are; the other keys are shuffled, and none of them is large.
+    """
+    is_hot = F.col(count) * HOT_PART > total
+    hot, cold = F.broadcast(groups.where(is_hot)), groups.where(~is_hot)
+    first = rows.join(hot, on, "left_semi" if how == "left_semi" else "inner")
+    return first.unionByName(rows.join(hot, on, "left_anti").join(cold, on, how))
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed without the rows whose ROW is in gone, a stored table. Up to BROADCAST_ROWS keys are broadcast and keyed stays where it is; more are shuffled."""
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(gone) if few else gone, ROW, "left_anti")
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, whole text (null: empty) and the columns named; whatever else docs has is not looked at."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)

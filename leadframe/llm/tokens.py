@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordCache, documents, prepare
+from .common import WordCache, documents, small_parts
 
 #: Unicode white space outside ASCII: next to these a cut may lie within a match, so such texts are encoded in one piece.
 _EXOTIC = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -130,11 +130,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     Null texts count as empty and have no ids. Repeated rows give repeated rows; other columns are not looked at.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
-        for batch in batches:
+        for batch in small_parts(batches):
             texts = batch.column("text").to_pylist()
             columns = {"doc_id": batch.column("doc_id"), "ids": pa.array([x.astype("i4") for x in bpe.ids(texts)], pa.list_(pa.int32()))}
             if offsets:
@@ -148,7 +147,6 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, data binary, text string of a table with doc_id and ids; null ids count as none, bytes that are no UTF-8 become U+FFFD."""
     path, pattern = path or default_path(), pattern or default_pattern()
-    prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
@@ -160,13 +158,16 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the bytes the ids decode to."""
+    """doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the bytes the ids decode to.
+
+    Null and empty texts have no ids and the digests of nothing; strings of special tokens are ordinary text. Repeated rows
+    give repeated rows, a null doc_id is kept, an empty table gives an empty result; other columns are not looked at.
+    """
     path, pattern = path or default_path(), pattern or default_pattern()
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
-        for batch in batches:
+        for batch in small_parts(batches):
             rows = []
             for ids in bpe.ids(batch.column("text").to_pylist()):
                 text = b",".join([bpe.decimal[i] for i in ids.tolist()])
