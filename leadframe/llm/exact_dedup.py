@@ -2,7 +2,8 @@
 
 Rows are told apart by the length of their normalised text, then by the hash of its first characters, and only what still
 shares both is grouped by the full hash. Only lengths and hashes are shuffled, never text: the scan derives them, and the
-contract's digest of every row is the full hash itself, so no second read of the texts is needed.
+contract's digest of every row is the full hash itself, so no second read of the texts is needed. A length, prefix or text that
+a large part of all rows has is joined by broadcast, so its rows never meet in one task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE_CLASS, documents, stored, with_rows
+from .common import ROW, SPACE_CLASS, documents, joined, stored, with_rows, without_rows
 
 PREFIX_CHARS = 64
 
@@ -42,21 +43,18 @@ def _marked(docs: DataFrame, row: Column, prefix_chars: int = PREFIX_CHARS) -> D
         "row",
     )
     rows = stored(rows, "exact")
-    lengths = rows.groupBy("norm_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("norm_len")
-    same_length = rows.join(lengths, "norm_len", "left_semi")
-    prefixes = same_length.groupBy("norm_len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("norm_len", "prefix")
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row")))
-    groups = (
-        rows.join(prefixes, ["norm_len", "prefix"], "left_semi")
-        .groupBy("text_sha256")
-        .agg(F.count(F.lit(1)).alias("size"), best.alias("best"))
-        .where("size > 1")
-    )
-    return rows.join(groups, "text_sha256", "left").select(
+    total = rows.count()
+    lengths = rows.groupBy("norm_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same_length = joined(rows, lengths, ["norm_len"], total, "left_semi")
+    prefixes = same_length.groupBy("norm_len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = F.min(F.struct((-F.col("n_chars")).alias("shortness"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    groups = joined(rows, stored(prefixes, "prefixes"), ["norm_len", "prefix"], total, "left_semi").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
+    groups = stored(groups.where("n > 1"), "groups")
+    return joined(rows, groups, ["text_sha256"], total, "left").select(
         "doc_id",
-        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(-F.col("best.neg_id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("size").isNull() | (F.col("row") == -F.col("best.neg_row"))).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("n").isNull() | (F.col("row") == F.col("best.row"))).alias("kept"),
         "text_sha256",
         "n_chars",
         "row",
@@ -69,17 +67,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows are decided one by one: repeated rows of a doc_id and rows with a null doc_id are copies like any others.
     """
     keyed = with_rows(docs, "exact-rows")
-    gone = _marked(keyed, F.col(ROW)).where("NOT kept").select(F.col("row").alias(ROW))
-    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Text moves only for this join, and only ids beside it.
-
-    Rows of one doc_id stay or go together: they go when none of them is kept. Rows with a null doc_id stay.
-    """
-    gone = exact_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("any_kept")).where("NOT any_kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(_marked(keyed, F.col(ROW)).where("NOT kept").select(F.col("row").alias(ROW)), "exact-gone")
+    return without_rows(keyed, gone).select(*docs.columns)
 
 
 SQL = r"""
