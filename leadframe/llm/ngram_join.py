@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join by prefix trees.
 
 1. Every document's set of k-word shingles becomes 58-bit hashes. Hashes travel packed, a block for each chunk of documents
-   and hash range; the range's task counts how many documents have each hash and answers with those that two or more have.
+   and hash range, each hash once for a chunk; the range's task counts how many documents have each hash and answers with
+   those that two or more have. So a shingle of very many documents makes one entry for each chunk of up to 1000 of them.
 2. A set in the global order (rarest first, then by hash) that reaches similarity t with any other must share one of its
    first n - ceil(t n) + 1 shingles. Where the shingles that no other document has fill this prefix, the document has no
    partner. The rest are linked, loosely, to the smallest document of each prefix shingle; any true link lies within a
@@ -9,7 +10,7 @@
 3. Within a component the ordered sets form a prefix tree. A probe walks it once, shares the overlap of common beginnings,
    and leaves a subtree when what remains of either set cannot reach the overlap needed.
 Components too large for a task are first compared with a few pivots; members outside the largest cluster found are then
-compared, block by block, with all others. No cap drops a link.
+compared with all documents that share a prefix shingle with them, in blocks of bounded size. No cap drops a link.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WordCache, documents, mix64, prepare, stored, with_rows
+from .common import ROW, WordCache, documents, joined, mix64, small_parts, stored, with_rows, without_rows
 from .graph import components
 
 BITS = 58
-PAYLOAD = 48
 #: Text bytes whose shingle hashes one counting task holds.
 RANGE_BYTES = 12_000_000
 #: A block of the join holds so many shingles and documents at most; larger loose components are split.
@@ -51,87 +51,119 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(acc >> np.uint64(64 - BITS))
 
 
-def _packed(low: np.ndarray) -> bytes:
-    return low.astype("<u8").view("u1").reshape(-1, 8)[:, : PAYLOAD // 8].tobytes()
+def _packed(low: np.ndarray, width: int) -> bytes:
+    return low.astype("<u8").view("u1").reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) * 8 // PAYLOAD, 8), "u1")
-    wide[:, : PAYLOAD // 8] = np.frombuffer(data, "u1").reshape(-1, PAYLOAD // 8)
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), "u1")
+    wide[:, :width] = np.frombuffer(data, "u1").reshape(-1, width)
     return wide.view("<u8").ravel()
 
 
+def _owners(doc: np.ndarray, docs: int) -> bytes:
+    """Ascending document numbers of a chunk: one by one, or as counts of each document, whichever is shorter."""
+    if 2 * len(doc) < 4 * docs:
+        return b"e" + doc.astype("<u2").tobytes()
+    return b"c" + np.bincount(doc, minlength=docs).astype("<u4").tobytes()
+
+
+def _owned(data: bytes) -> np.ndarray:
+    if data[:1] == b"e":
+        return np.frombuffer(data, "<u2", offset=1).astype("i8")
+    counts = np.frombuffer(data, "<u4", offset=1)
+    return np.repeat(np.arange(len(counts)), counts)
+
+
 def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, items, same_a, same_b. items: the shingles that other documents have too, in the global order; null where no other document can be similar.
 
     An item's upper bits hold the binary logarithm of its document count, the lower ones its hash. same_a and same_b, a digest of the
     items, are null where a document has a shingle of its own and so no equal.
     """
-    spark = docs.sparkSession
-    prepare(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     range_bits = max(0, int(np.ceil(np.log2(max(1, total / RANGE_BYTES)))))
-    low_bits = min(PAYLOAD, BITS - range_bits)
-    low_mask, to_range = np.uint64((1 << low_bits) - 1), np.uint64(BITS - range_bits)
+    low_bits = BITS - range_bits  # a block's hashes agree in the other bits
+    width = -(-low_bits // 8)
+    low_mask, to_range = np.uint64((1 << low_bits) - 1), np.uint64(low_bits)
     ranges = 1 << range_bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         cache, part = WordCache(word_hashes), TaskContext.get().partitionId()
-        for at, batch in enumerate(batches):
+        for at, batch in enumerate(small_parts(batches)):
             cut = [t.encode().lower().split() for t in batch.column("text").to_pylist()]
             sets = [shingles(np.array(v, "u8"), size) for v in cache.values(cut)]
             sizes = np.array([len(s) for s in sets], "i4")
             flat = np.concatenate(sets) if sets else np.zeros(0, "u8")
             doc = np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            ends = np.flatnonzero(np.append(flat[order][1:] != flat[order][:-1], True)) if len(flat) else np.zeros(0, "i8")
+            runs = np.diff(np.append(-1, ends))
+            once = np.zeros(len(flat), bool)
+            once[order[ends[runs == 1]]] = True
+            many, times = flat[order[ends[runs > 1]]], runs[runs > 1]
+            many_docs = doc[order[np.repeat(runs > 1, runs)]]
+            flat, doc = flat[once], doc[once]
             where = (flat >> to_range).astype("i8") if range_bits else np.zeros(len(flat), "i8")
             order = np.argsort(where, kind="stable")
-            flat, doc, bounds = flat[order] & low_mask, doc[order], np.searchsorted(where[order], np.arange(ranges + 1))
+            flat, doc = flat[order] & low_mask, doc[order]
+            bounds = np.searchsorted(where[order], np.arange(ranges + 1))
+            starts = np.searchsorted(many, np.arange(ranges + 1, dtype="u8") << to_range) if range_bits else np.array([0, len(many)])
             chunk = (part << 32) + at
             rows = []
             for b in range(ranges):
-                if bounds[b] < bounds[b + 1]:
-                    own = slice(bounds[b], bounds[b + 1])
-                    rows.append((b, np.bincount(doc[own], minlength=len(sets)).astype("<u4").tobytes(), _packed(flat[own])))
+                own, shared = slice(bounds[b], bounds[b + 1]), slice(starts[b], starts[b + 1])
+                if bounds[b] < bounds[b + 1] or starts[b] < starts[b + 1]:
+                    rows.append((b, _owners(doc[own], len(sets)), _packed(flat[own], width), _packed(many[shared] & low_mask, width), times[shared].astype("<u4").tobytes()))
+            n = len(rows)
             yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array([chunk % ranges] + [r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * (len(rows) + 1), pa.int64()), "blocks": pa.array([len(rows)] * (len(rows) + 1), pa.int32()),
-                "counts": pa.array([None] + [r[1] for r in rows], pa.binary()), "data": pa.array([None] + [r[2] for r in rows], pa.binary()),
-                "ids": pa.array([batch.column("doc_id").to_pylist()] + [None] * len(rows), pa.list_(pa.int64())), "sizes": pa.array([sizes.tolist()] + [None] * len(rows), pa.list_(pa.int32())),
+                "bucket": pa.array([chunk % ranges] + [r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * (n + 1), pa.int64()), "blocks": pa.array([n] * (n + 1), pa.int32()),
+                "owners": pa.array([many_docs.astype("<u2").tobytes()] + [r[1] for r in rows], pa.binary()), "data": pa.array([None] + [r[2] for r in rows], pa.binary()),
+                "many": pa.array([None] + [r[3] for r in rows], pa.binary()), "times": pa.array([times.astype("<u4").tobytes()] + [r[4] for r in rows], pa.binary()),
+                "ids": pa.array([batch.column("doc_id").to_pylist()] + [None] * n, pa.list_(pa.int64())), "sizes": pa.array([sizes.tolist()] + [None] * n, pa.list_(pa.int32())),
             })
 
     def answer(table: pa.Table) -> pa.Table:
-        data, bucket = table.column("data").to_pylist(), table.column("bucket").to_pylist()
+        columns = {c: table.column(c).to_pylist() for c in ("bucket", "data", "many", "owners", "times", "ids")}
+        data, many, owners, times = (columns[c] for c in ("data", "many", "owners", "times"))
         at = [i for i, x in enumerate(data) if x is not None]
-        lows = [_unpacked(data[i]) for i in at]
-        counts = table.column("counts").to_pylist()
         if at:
-            flat = np.concatenate(lows)
+            bucket = np.uint64(columns["bucket"][at[0]]) << np.uint64(low_bits)
+            lows = [_unpacked(d, width) for i in at for d in (data[i], many[i])]
+            weights = [w for i, low in zip(at, lows[::2], strict=True) for w in (np.ones(len(low), "i8"), np.frombuffer(times[i], "<u4").astype("i8"))]
+            flat, weight = np.concatenate(lows), np.concatenate(weights)
             order = np.argsort(flat)
             ends = np.flatnonzero(np.append(flat[order][1:] != flat[order][:-1], True))
+            sums = np.diff(np.append(0, np.cumsum(weight[order])[ends]))
             found = np.empty(len(flat), "i8")
-            runs = np.diff(np.append(-1, ends))
-            found[order] = np.repeat(runs, runs)
+            found[order] = np.repeat(sums, np.diff(np.append(-1, ends)))
             level = np.frexp(found)[1].astype("u8") - np.uint64(1)
-            stop = 0
-            for i, low in zip(at, lows, strict=True):
-                own = slice(stop, stop := stop + len(low))
+            items, stop = (level << np.uint64(BITS)) | bucket | flat, 0
+            for i, low, shared in zip(at, lows[::2], lows[1::2], strict=True):
+                own = slice(stop, stop + len(low))
                 keep = found[own] > 1
-                doc = np.repeat(np.arange(len(counts[i]) // 4), np.frombuffer(counts[i], "<u4"))
-                items = (level[own] << np.uint64(BITS)) | (np.uint64(bucket[i]) << np.uint64(low_bits)) | low
-                data[i] = items[keep].astype("<u8").tobytes()
-                counts[i] = np.bincount(doc[keep], minlength=len(counts[i]) // 4).astype("<u4").tobytes()
-        return table.set_column(table.schema.get_field_index("data"), "data", pa.array(data, pa.binary())).set_column(table.schema.get_field_index("counts"), "counts", pa.array(counts, pa.binary()))
+                doc = _owned(owners[i])
+                data[i], owners[i] = items[own][keep].astype("<u8").tobytes(), b"e" + doc[keep].astype("<u2").tobytes()
+                stop += len(low) + len(shared)
+                many[i] = items[stop - len(shared) : stop].astype("<u8").tobytes()
+        out = table
+        for name, values in (("data", data), ("many", many), ("owners", owners), ("times", [t if ids is not None else None for t, ids in zip(times, columns["ids"], strict=True)])):
+            out = out.set_column(out.schema.get_field_index(name), name, pa.array(values, pa.binary()))
+        return out
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         info = [r for r in rows if r["ids"] is not None]
-        blocks = [r for r in rows if r["ids"] is None]
+        blocks = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"])
         if len(info) != 1 or len(blocks) != info[0]["blocks"]:
             raise RuntimeError("a chunk's blocks are not all there")
         ids, sizes = info[0]["ids"], np.array(info[0]["sizes"], "i8")
-        items = np.concatenate([np.frombuffer(r["data"], "<u8") for r in blocks]) if blocks else np.zeros(0, "u8")
-        doc = np.concatenate([np.repeat(np.arange(len(ids)), np.frombuffer(r["counts"], "<u4")) for r in blocks]) if blocks else np.zeros(0, "i8")
+        times = np.frombuffer(info[0]["times"], "<u4")
+        many = np.frombuffer(b"".join(r["many"] for r in blocks), "<u8")  # ascending over all ranges, as the chunk has them
+        items = np.concatenate([np.repeat(many, times)] + [np.frombuffer(r["data"], "<u8") for r in blocks])
+        doc = np.concatenate([np.frombuffer(info[0]["owners"], "<u2").astype("i8")] + [_owned(r["owners"]) for r in blocks])
         order = np.lexsort((items, doc))
         items, shared = items[order].astype("i8"), np.bincount(doc, minlength=len(ids))
         ends = np.cumsum(shared)
@@ -142,7 +174,7 @@ def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
         halves = [pa.array([None if d is None else (d >> k & (1 << 64) - 1) - (1 << 63) for d in digest], pa.int64()) for k in (64, 0)]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "items": pa.array(out, pa.list_(pa.int64())), "same_a": halves[0], "same_b": halves[1]})
 
-    wire = "bucket int, chunk long, blocks int, counts binary, data binary, ids array<long>, sizes array<int>"
+    wire = "bucket int, chunk long, blocks int, owners binary, data binary, many binary, times binary, ids array<long>, sizes array<int>"
     sent = docs.select("doc_id", "text").mapInArrow(send, wire)
     return sent.groupBy("bucket").applyInArrow(answer, wire).groupBy("chunk").applyInArrow(gather, "doc_id long, n_shingles long, items array<long>, same_a long, same_b long")
 
@@ -275,11 +307,9 @@ def _linked_within(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("bin").applyInArrow(run, "node long, component long")
 
 
-def _linked_across(left: DataFrame, right: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """u, v: of each block (equal keys), every document that a link between left and right joins to a smaller one, and the smallest it reaches."""
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        root: dict[int, int] = {}
-
+def _linked_across(left: DataFrame, right: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
+    """u, v: of each block (equal `block`), every document that a link between left and right joins to a smaller one, and the smallest it reaches. A task has many blocks."""
+    def link_blocks(a: tuple, b: tuple, root: dict[int, int]) -> None:
         def find(i: int) -> int:
             while root.setdefault(i, i) != i:
                 root[i] = root[root[i]]
@@ -290,48 +320,112 @@ def _linked_across(left: DataFrame, right: DataFrame, keys: list[str], num: int,
             if (x := find(i)) != (y := find(j)):
                 root[max(x, y)] = min(x, y)
 
+        ids, sizes, items = a
+        same: dict[tuple, list[int]] = {}
+        for i, (n, x) in enumerate(zip(sizes, items, strict=True)):
+            same.setdefault((n, x.tobytes()) if n == len(x) else (i,), []).append(i)
+        groups = list(same.values())
+        for g in groups:
+            for i in g[1:]:
+                link(ids[g[0]], ids[i])
+        tree = PrefixTree([items[g[0]] for g in groups], np.array([sizes[g[0]] for g in groups], "i8"), num, den)
+        for k, (doc, n, x) in enumerate(zip(*b, strict=True)):
+            if k % 32 == 0:
+                tree.refresh(lambda g: find(ids[groups[g][0]]))
+            for g in tree.similar(x, n, lambda g, doc=doc: find(ids[groups[g][0]]) == find(doc)):
+                link(doc, ids[groups[g][0]])
+        for i in list(root):
+            root[i] = find(i)
+
+    def by_block(table: pa.Table) -> dict[int, tuple]:
+        out: dict[int, tuple] = {}
+        for block, *row in zip(table.column("block").to_pylist(), *_lists(table), strict=True):
+            own = out.setdefault(block, ([], [], []))
+            for column, x in zip(own, row, strict=True):
+                column.append(x)
+        return out
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        u, v = [], []
         if a.num_rows and b.num_rows:
-            ids, sizes, items = _lists(a)
-            same: dict[tuple, list[int]] = {}
-            for i, (n, x) in enumerate(zip(sizes, items, strict=True)):
-                same.setdefault((n, x.tobytes()) if n == len(x) else (i,), []).append(i)
-            groups = list(same.values())
-            for g in groups:
-                for i in g[1:]:
-                    link(ids[g[0]], ids[i])
-            tree = PrefixTree([items[g[0]] for g in groups], np.array([sizes[g[0]] for g in groups], "i8"), num, den)
-            for k, (doc, n, x) in enumerate(zip(*_lists(b), strict=True)):
-                if k % 32 == 0:
-                    tree.refresh(lambda g: find(ids[groups[g][0]]))
-                for g in tree.similar(x, n, lambda g, doc=doc: find(ids[groups[g][0]]) == find(doc)):
-                    link(doc, ids[groups[g][0]])
-        u = [i for i in root if find(i) != i]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array([find(i) for i in u], pa.int64())})
-
-    columns = ["doc_id", "n_shingles", "items"]
-    sides = [x.select([F.col(c).alias(c) for c in (*keys, *columns)]).groupBy(*keys) for x in (left, right)]  # new names: both sides may stem from one table
+            others = by_block(b)
+            for block, own in by_block(a).items():
+                if block in others:
+                    root: dict[int, int] = {}
+                    link_blocks(own, others[block], root)
+                    u += [i for i in root if root[i] != i]
+                    v += [root[i] for i in root if root[i] != i]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    columns = ["block", "doc_id", "n_shingles", "items"]
+    task = F.pmod(F.xxhash64("block"), F.lit(tasks)).alias("task")
+    sides = [x.select([F.col(c).alias(c) for c in columns]).select(task, *columns).groupBy("task") for x in (left, right)]  # new names: both sides may stem from one table
     return sides[0].cogroup(sides[1]).applyInArrow(run, "u long, v long").distinct()
 
 
-def _linked_large(members: DataFrame, num: int, den: int) -> DataFrame:
-    """node, component of loose components that no task should hold: pivots first, then whoever is not in the largest cluster against all."""
-    salts = F.ceil(F.col("docs") / BLOCK_DOCS).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt")
+def _parts(docs: str, items: str):
+    """In how many parts so many documents with so many items must go."""
+    return F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(items) / BLOCK_ITEMS)).cast("int")
+
+
+def _linked_large(members: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """node, component of loose components that no task should hold.
+
+    All members meet a few pivots, which finds large clusters. Whoever is not in its component's largest cluster then meets
+    all members that share a prefix shingle with it; two documents of that cluster need no link between them.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.col("salts"))
+    salted = members.withColumn("salts", _parts("docs", "items_in"))
     least = members.groupBy("loose").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id")).alias(f"p{k}") for k in range(PIVOTS)])
     chosen = least.select("loose", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.doc_id") for k in range(PIVOTS)]))).alias("doc_id"))
-    pivots = members.join(F.broadcast(chosen), ["loose", "doc_id"])  # PIVOTS rows for each component of over BLOCK_DOCS documents
-    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    edges = stored(_linked_across(pivots, members.select("*", salt), ["loose", "salt"], num, den), "large-edges")
+    pivots = salted.join(chosen, ["loose", "doc_id"]).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)))
+    pivots = pivots.withColumn("block", F.xxhash64("loose", "s"))
+    total = members.agg(F.sum(F.size("items"))).first()[0] or 0
+    edges = stored(_linked_across(pivots, salted.withColumn("block", F.xxhash64("loose", part)), max(1, total * 4 // BLOCK_ITEMS), num, den), "large-edges")
     found = components(edges)
-    clustered = members.select("loose", "doc_id", "docs").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("component")
+    clustered = members.select("loose", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("loose", "doc_id", F.coalesce("component", "doc_id").alias("cluster"))
     clustered = stored(clustered, "clusters")
     largest = clustered.groupBy("loose", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("loose").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("largest"))
-    outside = stored(clustered.join(F.broadcast(largest), "loose").where("cluster <> largest").select("loose", "doc_id"), "outside")
-    blocks = outside.groupBy("loose").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    left = members.join(outside, ["loose", "doc_id"]).join(F.broadcast(blocks), "loose").withColumn("block", block).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    right = members.join(F.broadcast(blocks), "loose").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", salt)
-    return components(edges.union(_linked_across(left, right, ["loose", "block", "salt"], num, den)))
+    outside = clustered.join(largest, "loose").where("cluster <> largest").select("doc_id", F.lit(True).alias("outside"))
+    seen = first.join(members.select("doc_id", F.size("items").alias("k")), "doc_id").join(outside, "doc_id", "left")
+    seen = stored(seen.select("item", "doc_id", "k", F.coalesce("outside", F.lit(False)).alias("outside")), "large-first")
+    few = F.when(F.col("outside"), F.col("k"))
+    extent = seen.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("all_items"), F.count(few).alias("few"), F.sum(few).alias("few_items")).where("n > 1 AND few > 0")
+    extent = stored(extent.select("item", "n", "all_items", "few_items", _parts("n", "all_items").alias("salts"), _parts("few", "few_items").alias("blocks")), "large-items")
+    volume, rows = extent.agg(F.sum(F.expr("all_items * blocks + few_items * salts"))).first()[0] or 0, seen.count()
+    sets = members.select("doc_id", "n_shingles", "items")
+    key = F.xxhash64("item", "b", "s").alias("block")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    met = joined(seen, extent, ["item"], rows)
+    left = met.where("outside").select("doc_id", "item", own("blocks").alias("b"), every("salts").alias("s")).select("doc_id", key).join(sets, "doc_id")
+    right = met.select("doc_id", "item", every("blocks").alias("b"), own("salts").alias("s")).select("doc_id", key).join(sets, "doc_id")
+    return components(edges.union(_linked_across(left, right, max(1, volume * 4 // BLOCK_ITEMS), num, den)))
+
+
+def linked_sets(sets: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, component (the smallest doc_id that links reach) of sets that have a partner at all, and perhaps of others.
+
+    sets: doc_id, n_shingles, items (stored; ascending in one order for all). first: doc_id, item; linked sets share an item.
+    """
+    first = stored(first, "first")
+    least = first.groupBy("item").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    loose = components(joined(first, least, ["item"], first.count()).select(F.col("doc_id").alias("u"), "v").distinct())
+    loose = loose.select(F.col("node").alias("doc_id"), F.col("component").alias("loose"))
+    measured = sets.select("doc_id", F.size("items").alias("k")).join(loose, "doc_id")
+    extent = measured.groupBy("loose").agg(F.count(F.lit(1)).alias("docs"), F.sum("k").alias("items_in"))
+    loose = stored(measured.select("doc_id", "loose").distinct().join(extent, "loose"), "loose")
+    total = loose.select("loose", "items_in").distinct().agg(F.sum("items_in")).first()[0] or 0
+    fits = (F.col("docs") <= BLOCK_DOCS) & (F.col("items_in") <= BLOCK_ITEMS)
+    members = sets.select("doc_id", "n_shingles", "items").join(loose, "doc_id")
+    large = loose.where(~fits).limit(1).count()
+    if large:
+        members = stored(members, "members")
+    bins = max(1, int(np.ceil(total / (BLOCK_ITEMS / 8))))
+    linked = _linked_within(members.where(fits).withColumn("bin", F.pmod(F.xxhash64("loose"), F.lit(bins))), num, den)
+    if large:
+        linked = linked.union(_linked_large(members.where(~fits), first, num, den))
+    return stored(linked.groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component")), "labels")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -345,28 +439,12 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     alive = sets.where("items IS NOT NULL")
     keys = ["n_shingles", "same_a", "same_b"]
     equal = alive.where("same_a IS NOT NULL").select("doc_id", *keys)
-    copies = equal.join(equal.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), keys)
+    reps = stored(equal.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "reps")
+    copies = joined(equal, reps, keys, equal.count())
     copies = stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "copies")  # of equal sets only the smallest doc_id is compared
     prefix = F.size("items") - F.ceil(F.col("n_shingles") * num / den) + 1
     first = alive.select("doc_id", F.slice("items", F.lit(1), prefix.cast("int")).alias("items")).join(copies, "doc_id", "left_anti")
-    first = first.select("doc_id", F.explode("items").alias("item"))
-    least = first.groupBy("item").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    loose = components(first.join(least, "item").select(F.col("doc_id").alias("u"), "v").distinct())
-    loose = loose.select(F.col("node").alias("doc_id"), F.col("component").alias("loose"))
-    measured = alive.select("doc_id", F.size("items").alias("k")).join(loose, "doc_id")
-    extent = measured.groupBy("loose").agg(F.count(F.lit(1)).alias("docs"), F.sum("k").alias("items_in"))
-    loose = stored(measured.select("doc_id", "loose").distinct().join(extent, "loose"), "loose")
-    total = loose.select("loose", "items_in").distinct().agg(F.sum("items_in")).first()[0] or 0
-    fits = (F.col("docs") <= BLOCK_DOCS) & (F.col("items_in") <= BLOCK_ITEMS)
-    members = alive.select("doc_id", "n_shingles", "items").join(loose, "doc_id")
-    large = loose.where(~fits).limit(1).count()
-    if large:
-        members = stored(members, "members")
-    bins = max(1, int(np.ceil(total / (BLOCK_ITEMS / 8))))
-    linked = _linked_within(members.where(fits).withColumn("bin", F.pmod(F.xxhash64("loose"), F.lit(bins))), num, den)
-    if large:
-        linked = linked.union(_linked_large(members.where(~fits), num, den))
-    labels = stored(linked.groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component")), "labels")
+    labels = linked_sets(alive, first.select("doc_id", F.explode("items").alias("item")), num, den)
     follow = copies.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct()
     return sets.join(labels.union(follow), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -381,5 +459,5 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) ->
     groups = stored(groups.select(F.col("doc_id").alias(ROW), "component_id"), "near-groups")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
     best = groups.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order)[ROW].alias("best"))
-    gone = groups.join(best, "component_id").where(F.col(ROW) != F.col("best")).select(ROW)
-    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
+    gone = stored(groups.join(best, "component_id").where(F.col(ROW) != F.col("best")).select(ROW), "near-gone")
+    return without_rows(keyed, gone).select(*docs.columns)
