@@ -6,6 +6,7 @@ set; sets are compared by Jaccard, and two sets whose lengths differ too much fo
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -16,7 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, mix64, plain_words, prepare
+from .common import WordCache, documents, joined, mix64, plain_words, small_parts, stored
+from .ngram_join import linked_sets
 
 #: Common words of the corpus languages.
 ANCHORS = frozenset(
@@ -26,10 +28,10 @@ ANCHORS = frozenset(
     "el los las y es que en un una por con para no se del al lo como más su pero sus o este".split()
 )
 CHAIN = 2
-MINIMA = 24
-BUCKET_BYTES = 8_000_000
-#: Ranges of doc_id at most; tasks stream theirs, so a range may be of any size.
-MOST_RANGES = 4096
+#: Bits of a signature: six bytes, eight characters of a fingerprint.
+BITS = 48
+#: Bytes of a range of doc_id: the most that a table has of them, and the size that gives every core its work. Tasks stream their ranges.
+RANGE_BYTES, LEAST_RANGE_BYTES = 256_000_000, 8_000_000
 
 
 def word_values(words: list[str]) -> list[int]:
@@ -48,19 +50,27 @@ def spots(h: np.ndarray, chain: int = CHAIN) -> np.ndarray:
     acc = h[anchors]
     for j in range(chain):
         acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[content[first + j]])
-    return np.unique(acc)
+    return np.unique(acc >> np.uint64(64 - BITS))
 
 
 def signature_sets(texts: list[str], cache: WordCache) -> list[np.ndarray]:
     """Of each text its spots; a text without any has one signature, its own hash, so equal texts always have equal sets."""
     cut = [plain_words(t) for t in texts]
     sets = [spots(np.array(v, "u8")) for v in cache.values(cut)]
-    return [s if len(s) else np.array([xxhash.xxh64_intdigest(t)], "u8") for s, t in zip(sets, texts, strict=True)]
+    return [s if len(s) else np.array([xxhash.xxh64_intdigest(t) >> 64 - BITS], "u8") for s, t in zip(sets, texts, strict=True)]
 
 
 def fingerprint(signatures: np.ndarray) -> str:
-    """Set length, digest of the set, and its smallest members: equal for equal sets."""
-    return f"{len(signatures)}-{xxhash.xxh3_128_hexdigest(signatures.astype('<u8').tobytes())}-" + "".join(f"{x:08x}" for x in (signatures[:MINIMA] >> np.uint64(32)).tolist())
+    """The whole set, ascending, eight characters of base64 for each signature."""
+    wide = signatures.astype(">u8").view("u1").reshape(-1, 8)
+    return base64.b64encode(wide[:, 8 - BITS // 8 :].tobytes()).decode()
+
+
+def signatures_of(text: str) -> np.ndarray:
+    """The set that a fingerprint holds."""
+    wide = np.zeros((len(text) // 8, 8), "u1")
+    wide[:, 8 - BITS // 8 :] = np.frombuffer(base64.b64decode(text), "u1").reshape(-1, BITS // 8)
+    return wide.view(">u8").ravel().astype("u8")
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -73,69 +83,67 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_signatures, signatures array<long>, fingerprint of each row of docs; null texts count as empty."""
-    prepare(docs.sparkSession)
+    """doc_id, n_signatures, signatures array<long>, fingerprint of each row of docs; null texts count as empty, equal texts have equal fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(word_values)
-        for batch in batches:
+        for batch in small_parts(batches):
             sets = signature_sets(batch.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_signatures": pa.array([len(s) for s in sets], pa.int64()), "signatures": pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64())), "fingerprint": pa.array([fingerprint(s) for s in sets], pa.string())})
 
     return documents(docs).mapInArrow(run, "doc_id long, n_signatures long, signatures array<long>, fingerprint string")
 
 
-def alike(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, other, likeness: pairs of documents with different fingerprints, and a likeness of `least` or more.
+def alike(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint, class_id: the smallest doc_id reached by likenesses of num/den or more.
 
-    Documents of one fingerprint are compared through the smallest doc_id of theirs (other columns join by fingerprint).
-    Lengths fall into partitions whose bounds grow by 1/least, so a partner lies in a document's own partition or the next;
-    of those, sets that share one of their first signatures in the global order, rarest first, are compared.
+    Documents of one fingerprint, repeated rows and empty texts included, are alike and are compared once. Rows with a null
+    doc_id have the class of their fingerprint, null where no row with an id has it. An empty table gives an empty result.
+    Sets fall into partitions by length whose bounds grow by den/num, so a partner lies in a set's own partition or in one
+    beside it. Of those, sets are compared that share one of their first n - ceil(num n / den) + 1 signatures: signatures
+    are hashes, so the first are a random part, and a common one is among them as seldom as any other.
     """
-    rows = fingerprints(docs)
-    own = rows.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "n_signatures", "signatures")).alias("r")).select("r.*")
-    each = own.select("doc_id", "n_signatures", F.explode("signatures").alias("s"))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = each.join(common, "s").groupBy("doc_id", "n_signatures").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
-    first = (F.size("o") - F.ceil(F.col("n_signatures") * F.lit(least)) + 1).cast("int")
-    partition = F.floor(F.log(F.col("n_signatures").cast("double")) / F.log(F.lit(1 / least)))
-    keyed = ordered.where(first > 0).select("doc_id", "n_signatures", F.explode(F.slice("o", F.lit(1), first)).alias("e"), partition.alias("part")).select("doc_id", "n_signatures", "part", F.col("e.s").alias("s"))
-    near = keyed.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).alias("b")
-    a = keyed.alias("a")
-    close = (F.least("a.n_signatures", "b.n_signatures") >= F.greatest("a.n_signatures", "b.n_signatures") * least) & (F.col("a.doc_id") != F.col("b.doc_id"))
-    pairs = a.join(near, (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & close)
-    pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("doc_id"), F.greatest("a.doc_id", "b.doc_id").alias("other")).distinct()
-    left = own.select("doc_id", F.col("signatures").alias("x"))
-    right = own.select(F.col("doc_id").alias("other"), F.col("signatures").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    value = both / (F.size("x") + F.size("y") - both)
-    return pairs.join(left, "doc_id").join(right, "other").select("doc_id", "other", value.alias("likeness")).where(F.col("likeness") >= least)
+    rows = stored(fingerprints(docs), "fingerprints")
+    sets = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n_signatures").alias("n_shingles"), F.first("signatures").alias("items"), F.count(F.lit(1)).alias("n"))
+    sets = stored(sets, "sets")
+    alive = sets.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "items")
+    bounds, longest = [1], alive.agg(F.max("n_shingles")).first()[0] or 1
+    while bounds[-1] <= longest:
+        bounds.append(max(bounds[-1] + 1, bounds[-1] * den // num + 1))
+    partition = F.size(F.filter(F.array([F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("n_shingles")))
+    prefix = F.size("items") - F.floor((F.size("items") * num + den - 1) / den) + 1
+    first = alive.select("doc_id", F.explode(F.array(partition, partition + 1)).alias("part"), F.slice("items", F.lit(1), prefix.cast("int")).alias("s"))
+    first = first.select("doc_id", "part", F.explode("s").alias("s")).select("doc_id", F.xxhash64("part", "s").alias("item"))
+    labels = linked_sets(alive, first, num, den)
+    classes = sets.select("fingerprint", "doc_id", "n").join(labels, "doc_id", "left").select("fingerprint", F.coalesce("component", "doc_id").alias("class_id"), "n")
+    return joined(rows.select("doc_id", "fingerprint"), stored(classes, "classes"), ["fingerprint"], rows.count()).select("doc_id", "fingerprint", "class_id")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last half (rounded down) of the code points replaced by the first as many, or all, of the next
-    row in the order of doc_id (a null id first, repeated ids by their text); the first row follows the last. Null texts
-    count as empty; a single row follows itself; an empty table gives an empty result; other columns are not looked at.
+    row in the order of doc_id (a null id first, repeated ids by a hash of their text); the first row follows the last. Null
+    texts count as empty; a single row follows itself; an empty table gives an empty result; other columns are not looked at.
+    near_edited and near_next are the Jaccard of the sets that the fingerprints hold.
 
     Rows are dealt into ranges of doc_id that begin at ids of the table, so the row that follows a range's last one is
-    known beforehand and is sent to that range as well. Tasks stream their ranges in order. Texts travel compressed.
+    known beforehand and is sent to that range as well. Tasks stream their ranges in order, so a range, and the rows of one
+    repeated id, may be of any size. Texts travel compressed.
     """
-    spark = docs.sparkSession
-    prepare(spark)
     rows = documents(docs)
     low = -(1 << 63)
     extent = rows.agg(F.sum(F.octet_length("text") + 64), F.min(F.coalesce("doc_id", F.lit(low)))).first()
-    n = min(MOST_RANGES, max(1, (extent[0] or 0) // BUCKET_BYTES))
-    at = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else []
+    total, cores = extent[0] or 0, docs.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(total // LEAST_RANGE_BYTES, 16 * cores), total // RANGE_BYTES)
+    at = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(100_000, 4 * n))).first()[0] if n > 1 else []
     bounds = sorted(set(at or []) - {extent[1]})
     least = extent[1]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         starts, starting = np.array(bounds, "i8"), set(bounds)
-        for batch in batches:
+        for batch in small_parts(batches):
             ids = batch.column("doc_id").to_pylist()
             keys = [low if i is None else i for i in ids]
             data = [press.compress(t.encode()) for t in batch.column("text").to_pylist()]
@@ -150,7 +158,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress, cache = zstandard.ZstdDecompressor(), WordCache(word_values)
         before = None  # the row that waits for the one after it: range, doc_id, text, signatures
-        for batch in batches:
+        for batch in small_parts(batches, "data"):
             ranges, ahead, ids = (batch.column(c).to_pylist() for c in ("range", "ahead", "doc_id"))
             texts = [unpress.decompress(d).decode() for d in batch.column("data").to_pylist()]
             sets = signature_sets(texts, cache)
