@@ -12,15 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, mix64, plain_words, prepare
+from .common import WordCache, documents, mix64, plain_words, small_parts
 from .langid import held_out
 
 BITS = 20
 THRESHOLD = 0.3
 #: The training sample holds about so many labelled documents of each label, chosen by a hash of doc_id.
 SAMPLE_DOCS = 3000
-#: Features of a sampled document that a model keeps for training: all of them; of all features, those in so many sampled documents.
-LEAST_DOCS = 2
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -62,9 +60,8 @@ class Ftrl:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = BITS, rounds: int = 4) -> np.ndarray:
     """Weights of all coordinates, the last one the bias. rows: each document's distinct coordinates."""
-    seen = np.bincount(np.concatenate(rows), minlength=1 << bits) if rows else np.zeros(1 << bits)
     model, draw = Ftrl(bits), np.random.default_rng(7)
-    kept = [np.append(r[seen[r] >= LEAST_DOCS], 1 << bits) for r in rows]
+    kept = [np.append(r, 1 << bits) for r in rows]
     for _ in range(rounds):
         for i in draw.permutation(len(kept)):
             model.learn(kept[i], int(labels[i]), float(weights[i]))
@@ -74,7 +71,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: i
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and bias. It reads a sample: about sample_docs documents of each label, whole texts, weighted back to the labels' shares.
 
-    Rows of labels with a null toxic are not used; of several labels of one document the greatest counts.
+    Rows of labels with a null toxic or doc_id are not used; of several labels of one document the greatest counts; repeated
+    rows of docs are fitted as often as they occur. All coordinates of the sample are fitted. Without labels of both kinds the
+    model is a bias of -3.
     """
     spark = docs.sparkSession
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -85,11 +84,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     share = {k: min(1.0, sample_docs / n) for k, n in counts.items()}
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "doc_id"), 11) / F.lit(float(1 << 53))
     sample = marked.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(word_hashes)
-        for batch in batches:
+        for batch in small_parts(batches):
             cut = [plain_words(t) for t in batch.column("text").to_pylist()]
             rows = [np.unique(features(np.array(v, "u8"))).astype("<u4").tobytes() for v in cache.values(cut)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "at": pa.array(rows, pa.binary())})
@@ -127,15 +125,14 @@ class Scorer:
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of each row of docs; a text's repeats of a feature count once, null and empty texts score the bias alone.
 
-    Repeated rows give repeated rows; other columns are not looked at.
+    Repeated rows give repeated rows, an empty table an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # the weights that L1 left; 2^20 at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in small_parts(batches):
             p = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype("i4"))})
 
@@ -143,20 +140,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
 
 
 def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns, in one pass and without a shuffle. Nulls stay as they are; each of repeated rows is judged alike."""
+    """The rows of docs that score below threshold, with all their columns, in one pass and without a shuffle.
+
+    Nulls stay as they are and score as empty texts do; each of repeated rows is judged alike; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
-    prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # as in score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in small_parts(batches):
             yield batch.filter(pa.array(scorer.scores([t or "" for t in batch.column("text").to_pylist()]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def predict_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted: trained on labels that are not held out, applied to all."""
+    """doc_id, held_out, score, predicted: trained on labels that are not held out, applied to all.
+
+    Nulls, empty texts, repeated rows and empty tables are as score and train have them; a null doc_id is not held out.
+    """
     model = train(docs, labels.where(~held_out(4, 2)))
     return score(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
