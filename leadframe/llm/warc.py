@@ -2,7 +2,8 @@
 
 Records are gzip members of archive files, one file for each task. The index has a line for each record under its reversed-host
 key; lines are sorted, compressed in blocks, and a sparse directory has each block's first key and place. A lookup searches
-the directory, reads one block's bytes, searches its lines and reads the records' bytes.
+the directory, reads one block's bytes, searches its lines and reads the records' bytes. Many keys are looked up at once: they
+go to the index files whose key ranges they fall into, are searched there in the files' directory rows and then in the blocks.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, prepare, stored
+from .common import BROADCAST_ROWS, fresh_path, joined, small_parts, stored
 
 BLOCK_LINES = 256
+#: Bytes of archives that one task reads back.
+STRETCH_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"  # pages have no capture time
 
 
@@ -46,19 +49,34 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """A response with its payload, or a revisit of refers_to's payload. Both state the digest and size of the full payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
-    head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    head.append(f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}")
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+def _warc(kind: str, headers: list[str], content: str, block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", *headers, f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """A response with its payload, or a revisit of refers_to's payload. Both state the digest and size of the full payload.
+
+    A record's id is that of its page, so it is as unique as the page_id is.
+    """
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    head = [f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", "WARC-Target-URI: " + _uri(url), f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}"]
+    if refers_to is None:
+        return _warc("response", head, "application/http;msgtype=response", http + payload)
+    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {_uri(refers_url or '')}", f"WARC-Refers-To-Date: {DATE}"]
+    return _warc("revisit", head, "application/http;msgtype=response", http)
+
+
+def info_record(name: str) -> bytes:
+    """What an archive begins with."""
+    fields = "software: leadframe\r\nformat: WARC File Format 1.1\r\n".encode()
+    return _warc("warcinfo", [f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}"], "application/warc-fields", fields)
+
+
 @dataclass
 class Parsed:
     headers: dict[str, str]
@@ -90,6 +108,8 @@ def parse(data: bytes) -> Parsed:
     block, end = rest[: int(headers["content-length"])], rest[int(headers["content-length"]) :]
     if end != b"\r\n\r\n":
         raise ValueError("a record's length does not hold")
+    if "sha1:" + base32_sha1(block) != headers["warc-block-digest"]:
+        raise ValueError("a block's digest does not hold")
     http, payload = block.split(b"\r\n\r\n", 1)
     out = Parsed(headers, _fields(http.split(b"\r\n")[1:]), payload)
     if headers["warc-type"] == "response" and (len(payload) != int(out.http["content-length"]) or "sha1:" + base32_sha1(payload) != headers["warc-payload-digest"]):
@@ -107,26 +127,37 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0) -> DataFra
 
     Of pages with equal payloads of least_bytes or more, the one with the greatest page_id is a response and the others
     refer to it; all else are responses. Null html counts as empty and null URLs as ''; null page_ids and rows that repeat the greatest page_id are responses.
-    A task that runs again writes another file, and only the files of the tasks that the index was committed from are in it.
+    Ids and digests alone are shuffled to find the payloads that repeat. Those payloads are broadcast if they are few; if not,
+    html is dealt by digest, but for digests that many pages have. A task that runs again writes another file, and only the
+    files of the tasks that the index was committed from are in it.
     """
-    prepare(pages.sparkSession)
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("first"))
-    joined = rows.join(first, "digest")
-    revisit = (F.octet_length("html") >= least_bytes) & (F.col("page_id") != F.col("first"))
-    ready = joined.select("page_id", "url", host_key(F.col("url")).alias("key"), "html", F.when(revisit, F.col("first")).alias("refers_to"))
+    repeated = (
+        rows.where(F.octet_length("html") >= least_bytes)
+        .groupBy("digest")
+        .agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+    )
+    repeated = stored(repeated, "repeated")
+    if repeated.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10:  # some 100 bytes and a URL each
+        found = rows.join(F.broadcast(repeated), "digest", "left")
+    else:
+        found = joined(rows, repeated, ["digest"], pages.count(), "left")
+    revisit = F.col("page_id") != F.col("first")
+    ready = found.select("page_id", "url", host_key(F.col("url")).alias("key"), "html", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, path = None, 0, f"{root}/archive-{uuid.uuid4().hex}.warc.gz"
         try:
-            for batch in batches:
+            for batch in small_parts(batches, "html"):
                 if out is None and batch.num_rows:
                     system, where = file_system(path)
                     system.create_dir(where.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(where, compression=None)
+                    at = out.write(gzip_member(info_record(path.rpartition("/")[2])))
                 lines = []
-                for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    member = gzip_member(record(page_id, url, html.encode(), refers_to))
+                for page_id, url, html, refers_to, refers_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
+                    member = gzip_member(record(page_id, url, html.encode(), refers_to, refers_url))
                     out.write(member)
                     lines.append((path, at, len(member)))
                     at += len(member)
@@ -201,16 +232,37 @@ def lookup(directory: DataFrame, key: str) -> list[Parsed]:
     return out
 
 
-def read_all(directory: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record: all blocks of the index, then range reads in the archives' order."""
+def lookup_all(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record whose key is in keys (key, no nulls, repeats allowed).
+
+    The driver has the first and last key of each index file, a row for each task that wrote one. Keys are dealt to the
+    files that may have them; a task searches its file's directory rows for each of its keys, reads the blocks that may have
+    it and searches their lines. Records are then read in stretches of the archives, in the archives' order.
+    """
     spark = directory.sparkSession
-    prepare(spark)
+    files = directory.groupBy("path").agg(F.min("first").alias("first"), F.max("last").alias("last")).orderBy("first", "last").collect()
+    firsts, lasts, paths = [r["first"] for r in files], [r["last"] for r in files], [r["path"] for r in files]
+    empty = pa.table({"path": pa.array([], pa.string()), "at": pa.array([], pa.int64()), "size": pa.array([], pa.int64())})
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size")), strict=True):
-                rows = read_block(path, at, size)
-                yield pa.RecordBatch.from_pydict({"path": pa.array([r[2] for r in rows], pa.string()), "at": pa.array([r[3] for r in rows], pa.int64()), "size": pa.array([r[4] for r in rows], pa.int64())})
+            rows = [(k, paths[i]) for k in batch.column("key").to_pylist() for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
+            yield pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows], pa.string()), "file": pa.array([r[1] for r in rows], pa.string())})
+
+    def search(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not wanted.num_rows or not blocks.num_rows:
+            return empty
+        blocks = blocks.sort_by("at")
+        first, last, path, at, size = (blocks.column(c).to_pylist() for c in ("first", "last", "path", "at", "size"))
+        found: list[list] = []
+        held, lines, names = -1, [], []
+        for key in sorted(set(wanted.column("key").to_pylist())):
+            for i in range(bisect.bisect_left(last, key), bisect.bisect_right(first, key)):
+                if i != held:
+                    held, lines = i, read_block(path[i], at[i], size[i])
+                    names = [x[0] for x in lines]
+                found += lines[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]
+        return pa.table({"path": pa.array([r[2] for r in found], pa.string()), "at": pa.array([r[3] for r in found], pa.int64()), "size": pa.array([r[4] for r in found], pa.int64())})
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, f = None, None
@@ -230,13 +282,16 @@ def read_all(directory: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), columns, kinds, strict=True)})
 
-    blocks = directory.repartition(F.col("path"), F.col("at")).select("path", "at", "size")
-    found = blocks.mapInArrow(lines, "path string, at long, size long")
-    parts = F.floor(F.col("at") / (8 << 20))  # stretches of an archive, not whole archives: one may be large
-    return found.repartition("path", parts).sortWithinPartitions("path", "at").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = keys.select("key").distinct().mapInArrow(deal, "key string, file string")
+    blocks = directory.select(F.col("path").alias("file"), "first", "last", "path", "at", "size")
+    found = stored(dealt.groupBy("file").cogroup(blocks.groupBy("file")).applyInArrow(search, "path string, at long, size long"), "found")
+    tasks = max(spark.sparkContext.defaultParallelism, (found.agg(F.sum("size")).first()[0] or 0) // STRETCH_BYTES)
+    stretch = F.floor(F.col("at") / STRETCH_BYTES)  # not whole archives: one may be large
+    return found.repartition(tasks, "path", stretch).sortWithinPartitions("path", "at").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Archives every row of pages, indexes the archives and reads them back; an empty table gives an empty result."""
+    """Archives every row of pages, indexes the archives and looks up the keys of all pages; an empty table gives an empty result."""
     root = fresh_path(pages.sparkSession, "warc")
-    return read_all(write_index(write_archives(pages, root, least_bytes), root))
+    directory = write_index(write_archives(pages, root, least_bytes), root)
+    return lookup_all(directory, pages.select(host_key(F.col("url")).alias("key")))
