@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, prepare, stored, with_slots
+from .common import WordCache, documents, small_parts, stored, with_slots
 
 CAPACITY = 2048
 GRAIN = 16
@@ -41,7 +41,10 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        #: The library takes these strings out of a text before it splits the rest, so texts that have one are encoded whole.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, "i8")
         for text, i in vocab.items():
@@ -76,7 +79,11 @@ class WordBpe:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian 32-bit numbers."""
-        return [b"".join(v) for v in self.parts.values([self.cut(t) for t in texts])]
+        whole = [i for i, t in enumerate(texts) if self.special.search(t)]
+        out = [b"".join(v) for v in self.parts.values([[] if i in whole else self.cut(t) for i, t in enumerate(texts)])]
+        for i in whole:
+            out[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -91,14 +98,16 @@ def default_path() -> str:
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and then end_id, cut at every capacity tokens."""
+    """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and then end_id, cut at every capacity tokens.
+
+    Null texts count as empty: end_id alone. Repeated rows are cut as often as they occur; other columns are not looked at.
+    """
     path = path or default_path()
-    prepare(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        for batch in batches:
+        for batch in small_parts(batches):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.ids(batch.column("text").to_pylist()), strict=True):
                 ids += end
