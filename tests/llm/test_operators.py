@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import re
 import zlib
 from collections import Counter
 
@@ -54,7 +55,6 @@ def test_exact_dedup(docs, empty, spark):
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, None)], "doc_id long, text string")
     rows = exact_dedup.exact_dedup(twice).collect()
     assert len(rows) == 4 and sum(r["kept"] for r in rows) == 2 and {r["keep_id"] for r in rows if r["group_size"] == 3} == {1}
-    assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
 def test_sharding(docs, empty, spark):
@@ -147,7 +147,6 @@ def test_byte_bpe(docs, empty):
 def test_packing(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(packing.default_path())
-    t.encode_special_tokens = True
     rows = packing.pack(docs).collect()
     for i, text in enumerate(TEXTS):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -190,17 +189,56 @@ def test_fingerprints(docs, empty, spark):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), spotsigs.fingerprint(a))
         assert r["near_edited"] == pytest.approx(like(a, b)) and r["near_next"] == pytest.approx(like(a, c))
+        x, y, z = (set(re.findall(".{8}", f)) for f in (r["fingerprint"], r["edited_fingerprint"], got[(i + 1) % len(TEXTS)]["fingerprint"]))
+        assert r["near_edited"] == pytest.approx(len(x & y) / len(x | y)) and r["near_next"] == pytest.approx(len(x & z) / len(x | z))
     assert got[8]["fingerprint"] == got[17]["fingerprint"]
     assert spotsigs.with_edits(empty).count() == 0
     one = spark.createDataFrame([(None, "the cat sat")], "doc_id long, text string")
     assert spotsigs.with_edits(one).collect()[0]["near_next"] == 1.0
 
 
-def test_alike_against_all_pairs(spark):
+def brute_spots(text):
+    """An anchor and the two content words after it, whatever anchors stand between."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    out = set()
+    for i, w in enumerate(words):
+        content = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][:2]
+        if w in spotsigs.ANCHORS and len(content) == 2:
+            out.add((w, *content))
+    return out
+
+
+def test_spots_against_brute_force():
+    cache = WordCache(spotsigs.word_values)
+    for text in [t or "" for t in TEXTS[:15]] + ["the a of x", "the the x y z of", "der Hund und die Katze in dem Haus"]:
+        want = brute_spots(text)
+        got = spotsigs.signature_sets([text], cache)[0]
+        assert len(got) == max(1, len(want)) and (spotsigs.signatures_of(spotsigs.fingerprint(got)) == got).all()
+
+
+def test_alike_against_all_pairs(spark, docs, empty, monkeypatch):
     said = " ".join(f"the thing{i} of place{i} and time{i}" for i in range(30))
-    rows = [(0, said), (1, said.replace("thing3 ", "xx ")), (2, said.replace("thing", "yy")), (3, said)]
-    pairs = {(r["doc_id"], r["other"]) for r in spotsigs.alike(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()}
-    assert pairs == {(0, 1)}
+    draw = np.random.default_rng(4)
+    texts = [said, said.replace("thing3 ", "xx "), said.replace("thing", "yy"), said, None, "", "lone words"]
+    for _ in range(40):
+        words = said.split()
+        for at in draw.integers(0, len(words), draw.integers(1, 12)):
+            words[at] = f"other{at % 7}"
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [brute_spots(t or "") or {t or ""} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root[i] = root[j] = min(root[i], root[j])
+    table = spark.createDataFrame([*rows, (None, said), (None, "no other has this"), (3, said)], "doc_id long, text string")
+    for block in (1500, 2):
+        monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+        got = spotsigs.alike(table).collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in got if r["doc_id"] is not None) == sorted([*enumerate(root), (3, root[3])])
+        assert sorted((r["class_id"] for r in got if r["doc_id"] is None), key=str) == [root[0], None]
+    assert spotsigs.alike(empty).count() == 0
 
 
 def test_warc(spark):
@@ -218,6 +256,8 @@ def test_warc(spark):
     found = warc.lookup(directory, "com,example,a)/x?y")
     assert sorted(r.page_id for r in found) == [1, 6] and {r.payload for r in found if r.page_id == 6} == {b"<p>one</p>"}
     assert warc.lookup(directory, "nothing") == []
+    keys = spark.createDataFrame([("com,example,a)/x?y",), ("nothing",), ("com,example,a)/x?y",), ("no url",)], "key string")
+    assert sorted(r["page_id"] for r in warc.lookup_all(directory, keys).collect()) == [1, 5, 6]
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
@@ -258,21 +298,46 @@ def test_toxicity(docs, empty, spark):
     assert toxicity.predict_held_out(docs, labels.where("false")).count() == len(TEXTS)
 
 
-def test_token_counts(docs, spark):
-    bpe = tokens.byte_bpe(tokens.default_path(), tokens.default_pattern())
+def test_token_counts(docs, empty, spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=tokens.read_ranks(tokens.default_path()), special_tokens={})
+    twice = docs.union(docs.where("doc_id = 7")).union(docs.where("doc_id = 8").selectExpr("extra", "CAST(NULL AS BIGINT)", "text", "lang", "source", "row", "slot"))
     expected: Counter = Counter()
-    for i, t in enumerate(TEXTS):
-        if t:
-            expected["s" if i % 2 else None, ["en", "fr", None][i % 3], "docs"] += 1
-            expected["s" if i % 2 else None, ["en", "fr", None][i % 3], "tokens"] += len(bpe.ids([t])[0])
-    got = token_counts.maintained(docs).collect()
+    for i, t in [*enumerate(TEXTS), (7, TEXTS[7]), (8, TEXTS[8])]:
+        group = "s" if i % 2 else None, ["en", "fr", None][i % 3]
+        expected[(*group, "docs")] += 1
+        expected[(*group, "tokens")] += len(enc.encode_ordinary(t or ""))
+    got = token_counts.maintained(twice).collect()
     assert {(r["source"], r["lang"], k): r[c] for r in got for k, c in (("docs", "n_docs"), ("tokens", "n_tokens"))} == dict(expected)
-    ledger = token_counts.Ledger(spark, token_counts.fresh_path(spark, "ledger"))
-    exact = token_counts.counted(docs, "v1")
+    assert token_counts.maintained(empty).count() == 0
+
+
+def test_ledger(docs, spark):
+    root = token_counts.fresh_path(spark, "ledger")
+    ledger = token_counts.Ledger(spark, root)
+    total = lambda: sorted((r["tokenizer"], r["n_docs"], r["n_tokens"]) for r in ledger.totals().groupBy("tokenizer").sum("n_docs", "n_tokens").toDF("tokenizer", "n_docs", "n_tokens").collect())
+    assert total() == [] and ledger.fold() and total() == []
+    exact = token_counts.counted(docs, "v1").cache()
     assert ledger.commit("1", token_counts.inserts(exact)) and not ledger.commit("1", token_counts.inserts(exact))
+    once = total()
+    assert once[0][:2] == ("v1", len(TEXTS))
+    # an attempt that broke before its rename, and a writer that comes second with the folder half moved
+    token_counts.inserts(exact).groupBy("source", "lang", "tokenizer").agg({"docs": "sum"}).write.parquet(f"{root}/aside/broken")
+    assert not ledger._publish(token_counts.inserts(exact), f"{root}/batches/1", "{}") and total() == once
+    there = ledger._there
+    ledger._there = lambda path: False if path.endswith("batches/1") else there(path)
+    assert not ledger.commit("1", token_counts.inserts(exact)) and total() == once
+    ledger._there = there
+    assert ledger.fold() and total() == once and ledger.fold() and total() == once
+    assert not ledger.commit("1", token_counts.inserts(exact)) and total() == once
     assert ledger.commit("2", token_counts.revisions(exact, token_counts.estimated(docs, "v2")))
-    assert {r["tokenizer"] for r in ledger.totals().collect()} == {"v2"}
-    assert ledger.commit("3", token_counts.deletes(token_counts.estimated(docs, "v2"))) and ledger.totals().count() == 0
+    assert ledger.fold() and {r[0] for r in total()} == {"v2"}
+    assert ledger.commit("3", token_counts.deletes(token_counts.estimated(docs, "v2"))) and total() == []
+    assert ledger.fold() and total() == [] and not ledger.commit("2", token_counts.inserts(exact))
+    with pytest.raises(ValueError):
+        ledger.commit("../x", token_counts.inserts(exact))
 
 
 def test_pipeline_keeps_whole_columns(spark):
@@ -297,9 +362,3 @@ def test_row_filters_agree_with_the_scores(docs, empty):
     kept = langid.in_known_language(docs, learned, 0.5)
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
     assert toxicity.without_toxic(empty, model).count() == langid.in_known_language(empty, learned, 0.5).count() == 0
-
-
-def test_drop_copies_with_null_and_repeated_ids(spark):
-    rows = [(1, "a b"), (2, "ab"), (None, "ab"), (4, "own"), (4, "a  b"), (4, "own")]
-    out = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "ab"), (4, "a  b"), (4, "own"), (4, "own")]
