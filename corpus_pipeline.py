@@ -8,35 +8,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadframe.llm import exact_dedup, langid, ngram_join, packing, toxicity
-from leadframe.llm.common import stored
+from leadframe.llm.common import fresh_path, run_folder, stored
 
-#: A document is kept if its language is one the corpus has and the model is at least so sure of it.
+#: The languages to keep; None: all that the labels of the documents name.
+LANGUAGES: tuple[str, ...] | None = None
+#: A document is kept if its language is one of them and the model is at least so sure of it, against the others and against none of them.
 LEAST_SURE = 0.5
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, trained on all labels, does not predict to be toxic."""
+    """Documents that the model, trained on all labels, does not predict to be toxic.
+
+    Null and empty texts score the model's bias; each of repeated rows is judged alike; an empty table gives an empty result;
+    columns that docs has besides pass through, here as in the other stages.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model can tell; those without a letter go."""
-    return langid.in_known_language(docs, langid.train(docs), LEAST_SURE)
+    """Documents in a language to keep. Null texts, texts without a letter and texts that are in no language the model has learned go.
+
+    Documents that mix known languages stay. Each of repeated rows is judged alike; an empty table gives an empty result.
+    """
+    return langid.in_known_language(docs, langid.train(docs), LEAST_SURE, LANGUAGES)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, null and repeated ids included."""
+    """One row of each group of equal texts, rows with null and repeated ids included. Null and empty texts are one group; an empty table gives an empty result."""
     return exact_dedup.one_of_each(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the smallest doc_id, of each group linked by a Jaccard of 0.8 or more of five-word shingles."""
+    """One row, that of the smallest doc_id, of each group linked by a Jaccard of 0.8 or more of five-word shingles.
+
+    Rows with null and repeated ids are linked by their texts like any others; null texts and texts without a word stay; an
+    empty table gives an empty result.
+    """
     return ngram_join.one_of_each(docs, size=5, num=8, den=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 2048 tokens."""
+    """The documents' pieces in sequences of 2048 tokens. Null and empty texts are one token, repeated rows are packed as often as they occur."""
     return packing.pack(docs)
 
 
@@ -49,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, f"stage-{name}")
+        with run_folder(spark, name):
+            docs = stored(stage(spark, docs, sf_dir), name, path)
     return docs
