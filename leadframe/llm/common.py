@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -16,11 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadframe.session import hadoop_path, scratch
+
 #: ASCII white space, as the contracts write it.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 #: What a worker handles at once: so many rows, and so many bytes of text unless one text alone is longer.
-PART_ROWS, PART_BYTES = 1000, 8_000_000
+PART_ROWS, PART_BYTES = 1000, 4_000_000
 
 #: A key with more than this part of a table's rows is joined by broadcast; there are fewer than HOT_PART such keys.
 HOT_PART = 1000
@@ -47,36 +47,15 @@ def small_parts(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
             at = to
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without the setting."""
-    conf = spark.sparkContext.getConf()
-    if root := conf.get("spark.checkpoint.dir", None):
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-        return re.sub("^file:/+", "file:///", full)
-    if not conf.get("spark.master", "").startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "leadframe-checkpoints")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the run's folder, or in the shared folder; there it is removed when the application ends."""
     if inside := _folder.get():
         return f"{inside}/{label}-{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/leadframe-{label}-{uuid.uuid4().hex}"
-    system, where = _hadoop_path(spark, path)
-    system.mkdirs(where)
-    system.deleteOnExit(where)
-    return f"{path}/data"
+    return f"{scratch(spark, label)}/data"
 
 
 def removed(spark: SparkSession, path: str) -> None:
-    system, where = _hadoop_path(spark, path)
+    system, where = hadoop_path(spark, path)
     system.delete(where, True)
 
 
@@ -92,11 +71,26 @@ def run_folder(spark: SparkSession, label: str) -> Iterator[None]:
         removed(spark, path)
 
 
+@contextmanager
+def arrow_parts(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within hand texts to Python in parts of PART_ROWS and PART_BYTES, which bounds the JVM's buffers as well; the session's settings come back at the end."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PART_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(PART_BYTES)}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage ends there, and lost executors take nothing with them."""
     spark = df.sparkSession
     path = path or fresh_path(spark, label)
-    df.write.parquet(path)
+    with arrow_parts(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

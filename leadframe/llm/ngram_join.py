@@ -126,30 +126,43 @@ def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
             })
 
     def answer(table: pa.Table) -> pa.Table:
-        columns = {c: table.column(c).to_pylist() for c in ("bucket", "data", "many", "owners", "times", "ids")}
-        data, many, owners, times = (columns[c] for c in ("data", "many", "owners", "times"))
+        own = {c: table.column(c) for c in table.column_names}
+        owners, times, many, data = (own[c].to_pylist() for c in ("owners", "times", "many", "data"))
         at = [i for i, x in enumerate(data) if x is not None]
         if at:
-            bucket = np.uint64(columns["bucket"][at[0]]) << np.uint64(low_bits)
-            lows = [_unpacked(d, width) for i in at for d in (data[i], many[i])]
-            weights = [w for i, low in zip(at, lows[::2], strict=True) for w in (np.ones(len(low), "i8"), np.frombuffer(times[i], "<u4").astype("i8"))]
-            flat, weight = np.concatenate(lows), np.concatenate(weights)
+            bucket = np.uint64(own["bucket"][at[0]].as_py()) << np.uint64(low_bits)
+            sizes = [len(data[i]) // width for i in at]
+            flat, stop = np.empty(sum(sizes), "u8"), 0
+            for i, n in zip(at, sizes, strict=True):  # unpacked once, in one array
+                flat[stop : stop + n] = _unpacked(data[i], width)
+                data[i], stop = None, stop + n
             order = np.argsort(flat)
-            ends = np.flatnonzero(np.append(flat[order][1:] != flat[order][:-1], True))
-            sums = np.diff(np.append(0, np.cumsum(weight[order])[ends]))
-            found = np.empty(len(flat), "i8")
-            found[order] = np.repeat(sums, np.diff(np.append(-1, ends)))
-            level = np.frexp(found)[1].astype("u8") - np.uint64(1)
-            items, stop = (level << np.uint64(BITS)) | bucket | flat, 0
-            for i, low, shared in zip(at, lows[::2], lows[1::2], strict=True):
-                own = slice(stop, stop + len(low))
-                keep = found[own] > 1
-                doc = _owned(owners[i])
-                data[i], owners[i] = items[own][keep].astype("<u8").tobytes(), b"e" + doc[keep].astype("<u2").tobytes()
-                stop += len(low) + len(shared)
-                many[i] = items[stop - len(shared) : stop].astype("<u8").tobytes()
+            ranked = flat[order]
+            ends = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True)) if len(ranked) else np.zeros(0, "i8")
+            runs = np.diff(np.append(-1, ends)).astype("i4")
+            found = np.empty(len(flat), "i4")
+            found[order] = np.repeat(runs, runs)
+            del order
+            shared = [_unpacked(many[i], width) for i in at]
+            keys, of = np.unique(np.concatenate(shared), return_inverse=True)
+            sums = np.bincount(of, np.concatenate([np.frombuffer(times[i], "<u4") for i in at]), len(keys)).astype("i8")
+            if len(keys):  # what some chunks have more than once
+                place = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                found += np.where(keys[place] == flat, sums[place], 0).astype("i4")
+                sums += np.searchsorted(ranked, keys, "right") - np.searchsorted(ranked, keys, "left")
+            del ranked
+
+            def items(low: np.ndarray, count: np.ndarray) -> bytes:
+                return ((np.frexp(count)[1].astype("u8") - np.uint64(1) << np.uint64(BITS)) | bucket | low).astype("<u8").tobytes()
+
+            stop, first = 0, 0
+            for i, n, low in zip(at, sizes, shared, strict=True):
+                keep = found[stop : stop + n] > 1
+                data[i], owners[i] = items(flat[stop : stop + n][keep], found[stop : stop + n][keep]), b"e" + _owned(owners[i])[keep].astype("<u2").tobytes()
+                many[i], times[i] = items(low, sums[of[first : first + len(low)]]), None
+                stop, first = stop + n, first + len(low)
         out = table
-        for name, values in (("data", data), ("many", many), ("owners", owners), ("times", [t if ids is not None else None for t, ids in zip(times, columns["ids"], strict=True)])):
+        for name, values in (("data", data), ("many", many), ("owners", owners), ("times", times)):
             out = out.set_column(out.schema.get_field_index(name), name, pa.array(values, pa.binary()))
         return out
 
