@@ -57,7 +57,10 @@ def cycle_knn(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
 
 
 def moments(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """p, q, kl, kk, ll: sums over all items of a[p] b[q], a[p] a[q] and b[p] b[q], dims squared rows; products of whole batches, summed in each partition before the shuffle."""
+    """kind, p, q, s: sums over all items of a[p] b[q] (kl), a[p] a[q] (kk) and b[p] b[q] (ll); the views may be of different widths.
+
+    Dims squared rows; products of whole batches, summed in each partition before the shuffle.
+    """
     import numpy as np
     import pandas as pd
 
@@ -66,14 +69,14 @@ def moments(rows: DataFrame, a: str, b: str) -> DataFrame:
         for batch in batches:
             if len(batch):
                 x, y = np.stack(batch["a"].to_numpy()), np.stack(batch["b"].to_numpy())
-                own = np.stack([x.T @ y, x.T @ x, y.T @ y])
-                total = own if total is None else total + own
-        if total is not None:
-            p, q = np.indices(total.shape[1:])
-            yield pd.DataFrame({"p": p.ravel(), "q": q.ravel(), "kl": total[0].ravel(), "kk": total[1].ravel(), "ll": total[2].ravel()})
+                own = [x.T @ y, x.T @ x, y.T @ y]
+                total = own if total is None else [t + o for t, o in zip(total, own, strict=True)]
+        for kind, t in zip(("kl", "kk", "ll"), total or [], strict=False):
+            p, q = np.indices(t.shape)
+            yield pd.DataFrame({"kind": kind, "p": p.ravel(), "q": q.ravel(), "s": t.ravel()})
 
-    parts = rows.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(run, "p int, q int, kl double, kk double, ll double")
-    return parts.groupBy("p", "q").agg(*[F.sum(c).alias(c) for c in ("kl", "kk", "ll")])
+    parts = rows.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(run, "kind string, p int, q int, s double")
+    return parts.groupBy("kind", "p", "q").agg(F.sum("s").alias("s"))
 
 
 def totals(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -87,10 +90,10 @@ def totals(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def linear_cka(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Biased linear CKA from centred column products: dimensions squared, never items squared."""
-    at = lambda s, i: F.element_at(s, F.col(i) + 1)
     both = moments(rows, a, b).crossJoin(F.broadcast(totals(rows, a, b)))  # one row
-    centred = {n: F.col(n) - at(x, "p") * at(y, "q") / F.col("n") for n, x, y in (("kl", "sa", "sb"), ("kk", "sa", "sa"), ("ll", "sb", "sb"))}
-    h = both.agg(*[F.sum(c * c).alias(n) for n, c in centred.items()])
+    first, second = F.when(F.col("kind") == "ll", F.col("sb")).otherwise(F.col("sa")), F.when(F.col("kind") == "kk", F.col("sa")).otherwise(F.col("sb"))
+    centred = F.col("s") - F.element_at(first, F.col("p") + 1) * F.element_at(second, F.col("q") + 1) / F.col("n")
+    h = both.select("kind", (centred * centred).alias("c")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("c"))).alias(k) for k in ("kl", "kk", "ll")])
     return h.select((F.col("kl") / (F.sqrt(F.col("kk") * F.col("ll")) + F.lit(1e-6))).alias("cka"))
 
 
@@ -107,7 +110,7 @@ def unbiased_linear_cka(rows: DataFrame, a: str, b: str) -> DataFrame:
     each = each.select("n", "na", "nb", (F.col("ta") - F.col("na")).alias("ra"), (F.col("tb") - F.col("nb")).alias("rb"))
     total = lambda x, y, name: F.sum(F.col(x) * F.col(y)).alias(name)
     rowwise = each.agg(F.max("n").alias("n"), F.sum("ra").alias("sra"), F.sum("rb").alias("srb"), total("ra", "rb", "pkl"), total("ra", "ra", "pkk"), total("rb", "rb", "pll"), total("na", "nb", "dkl"), total("na", "na", "dkk"), total("nb", "nb", "dll"))
-    squares = moments(rows, a, b).agg(*[F.sum(F.col(c) * F.col(c)).alias(c) for c in ("kl", "kk", "ll")])
+    squares = moments(rows, a, b).agg(*[F.sum(F.when(F.col("kind") == c, F.col("s") * F.col("s"))).alias(c) for c in ("kl", "kk", "ll")])
     one = rowwise.crossJoin(squares).select("*", *[(F.col(c) - F.col(f"d{c}")).alias(f"x{c}") for c in ("kl", "kk", "ll")])  # one row each
     m = F.col("n")
     kl, kk, ll = _unbiased("xkl", "sra", "srb", "pkl", m), _unbiased("xkk", "sra", "sra", "pkk", m), _unbiased("xll", "srb", "srb", "pll", m)
@@ -171,8 +174,10 @@ def svcca(rows: DataFrame, a: str, b: str, dims: int = 10) -> float:
     one = totals(rows, a, b).first()
     n, means = one["n"], (np.array(one["sa"]), np.array(one["sb"]))
     got = moments(rows, a, b).toPandas().sort_values(["p", "q"])
-    d = len(means[0])
-    product = {c: got[c].to_numpy().reshape(d, d) - np.outer(means[x], means[y]) / n for c, x, y in (("kl", 0, 1), ("kk", 0, 0), ("ll", 1, 1))}
+    product = {}
+    for c, x, y in (("kl", 0, 1), ("kk", 0, 0), ("ll", 1, 1)):
+        outer = np.outer(means[x], means[y])
+        product[c] = got[got["kind"] == c]["s"].to_numpy().reshape(outer.shape) - outer / n
     scale = [np.sqrt(np.diag(product[c]) / (n - 1)) + 1e-8 for c in ("kk", "ll")]
     kl, kk, ll = product["kl"] / np.outer(*scale), product["kk"] / np.outer(scale[0], scale[0]), product["ll"] / np.outer(scale[1], scale[1])
 
@@ -193,6 +198,46 @@ def check_metric(name: str) -> str:
     return name
 
 
+def neighbour_lists(a: DataFrame, b: DataFrame) -> DataFrame:
+    """i, a, b: each item's neighbours in both views, nearest first."""
+    ordered = lambda x, name: x.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "j"))), lambda e: e["j"]).alias(name))
+    return ordered(a, "a").join(ordered(b, "b"), "i")
+
+
+def row_distances(rows: DataFrame, a: str, b: str, distance, name: str = "distance") -> DataFrame:
+    """rows with a number for each pair of arrays, by an Arrow function of two lists."""
+    import pandas as pd
+
+    each = F.pandas_udf(lambda x, y: pd.Series([float(distance(list(p), list(q))) for p, q in zip(x, y, strict=True)], dtype="f8"), "double")
+    return rows.withColumn(name, each(a, b))
+
+
+def measured(metric: str, rows: DataFrame, key: str, a: str, b: str, k: int = 10, dims: int = 10) -> DataFrame:
+    """One row with a metric, by its name, of two views (arrays) of the items; names that are none raise."""
+    from leadframe.functions.kernels import edits, longest_common
+
+    check_metric(metric)
+    if metric == "cka":
+        return linear_cka(rows, a, b)
+    if metric == "unbiased_cka":
+        return unbiased_linear_cka(rows, a, b)
+    if metric == "svcca":
+        return rows.sparkSession.createDataFrame([(svcca(rows, a, b, dims),)], "svcca double")
+    if metric == "cknna" and k < 2:
+        raise ValueError("cknna needs two neighbours and more")
+    n, na, nb = rows.count(), neighbours_blocked(rows, key, a, k), neighbours_blocked(rows, key, b, k)
+    if metric == "mutual_knn":
+        return mutual_knn(na, nb, k, n)
+    if metric == "cycle_knn":
+        return cycle_knn(na, nb, n)
+    if metric == "cknna":
+        return cknna(na, nb, n)
+    lists = neighbour_lists(na, nb)
+    if metric == "lcs_knn":
+        return row_distances(lists, "a", "b", longest_common).agg(F.avg("distance").alias("lcs_knn"))
+    return row_distances(lists, "a", "b", edits).agg((1 - F.avg("distance") / k).alias("edit_distance_knn"))
+
+
 def looked_up(tokens: DataFrame, vectors: DataFrame, token: str, vec: str, dims: int) -> DataFrame:
     """tokens with the vector of each; pads and unknown tokens have zeros."""
     return tokens.join(vectors, token, "left").withColumn(vec, F.coalesce(F.col(vec), F.array_repeat(F.lit(0.0), dims)))
@@ -202,3 +247,51 @@ def scattered(rows: DataFrame, written: DataFrame, keys: list[str], vec: str) ->
     """rows with the vectors written at their keys; all-zero vectors are not written."""
     new = written.select(*keys, F.col(vec).alias("_new")).where(F.exists("_new", lambda x: x != 0))
     return rows.join(new, keys, "left").withColumn(vec, F.coalesce("_new", vec)).drop("_new")
+
+
+def injected(positions: DataFrame, signals: DataFrame, example: str, vec: str, index: str, strict: bool = False) -> DataFrame:
+    """positions (example, pos, vec) with the k-th signal vector of an example at the k-th index of its array `index`.
+
+    signals: example, k, vec. Pads (-2), the -1 of an example without a place, all-zero vectors and places beyond the
+    example's positions are not written; strict raises at such a place instead. Without signals all stays as it is.
+    """
+    asked = signals.select(example, "k", F.col(vec).alias("_new")).join(positions.select(example, index).distinct(), example)
+    at = asked.withColumn("pos", F.try_element_at(F.col(index), (F.col("k") + 1).cast("int")).cast("long"))
+    extent = positions.groupBy(example).agg(F.max("pos").alias("_last"))
+    placed = at.join(extent, example)
+    inside = (F.col("pos") >= 0) & (F.col("pos") <= F.col("_last"))
+    if strict:
+        placed = placed.withColumn("pos", F.when(F.coalesce(inside, F.lit(False)), F.col("pos")).otherwise(F.raise_error(F.lit("a signal position is out of range"))))
+    usable = placed.where(inside & F.exists("_new", lambda x: x != 0)).select(example, "pos", "_new")
+    return positions.join(usable, [example, "pos"], "left").withColumn(vec, F.coalesce("_new", vec)).drop("_new")
+
+
+def masked_mean(positions: DataFrame, keys: list[str], vec: str, mask: str, dims: int) -> DataFrame:
+    """keys and the mean vector of the positions whose mask is 1, over at least one; zeros where none is."""
+    kept = [F.sum(F.when(F.col(mask) == 1, F.element_at(vec, d + 1)).otherwise(0.0)) for d in range(dims)]
+    n = F.greatest(F.sum(F.col(mask).cast("double")), F.lit(1.0))
+    return positions.groupBy(*keys).agg(F.array(*[c / n for c in kept]).alias(vec))
+
+
+def layer_mean(rows: DataFrame, example: str, vec: str, dims: int) -> DataFrame:
+    """example and the mean over its layers' vectors."""
+    return rows.groupBy(example).agg(F.array(*[F.avg(F.element_at(vec, d + 1)) for d in range(dims)]).alias(vec))
+
+
+def pooled(vec: Column, n: int, k: int) -> Column:
+    """n numbers averaged to k: bin i goes from floor(i n / k) to ceil((i + 1) n / k), so bins may overlap."""
+    def part(i: int) -> Column:
+        first, past = i * n // k, -(-(i + 1) * n // k)
+        return F.aggregate(F.slice(vec, first + 1, past - first), F.lit(0.0), lambda s, x: s + x) / (past - first)
+
+    return F.array(*[part(i) for i in range(k)])
+
+
+def info_nce(pairs: DataFrame, a: str, b: str, key: str = "id", batch: str = "batch", temperature: float = 0.07) -> DataFrame:
+    """batch, loss: row and column cross entropy of the batch's similarities, added; a row's own partner is the right one. Both sides are scaled to unit length."""
+    x = pairs.select(batch, F.col(key).alias("i"), normalised(F.col(a)).alias("x"))
+    y = pairs.select(batch, F.col(key).alias("j"), normalised(F.col(b)).alias("y"))
+    s = x.join(y, batch).select(batch, "i", "j", (dot(F.col("x"), F.col("y")) / temperature).alias("s"))
+    own = F.max(F.when(F.col("i") == F.col("j"), F.col("s")))
+    side = lambda c: s.groupBy(batch, c).agg((F.log(F.sum(F.exp("s"))) - own).alias("l")).groupBy(batch).agg(F.avg("l").alias(f"l{c}"))
+    return side("i").join(side("j"), batch).select(batch, (F.col("li") + F.col("lj")).alias("loss"))

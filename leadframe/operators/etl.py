@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from leadframe.functions import hash32
+from leadframe.functions import hash32, uniform
 
 
 def report_text(columns: list[str]) -> Column:
@@ -113,9 +113,87 @@ def key_of(corpus: str, path: Column) -> Column:
         return ptb(path)
     if corpus == "code15-test":
         return F.substring_index(path, "-", 1)
+    if corpus in CATALOGUED:
+        raise ValueError(f"{corpus} is looked up in a catalogue: catalogued_keys")
     raise ValueError(f"unsupported corpus {corpus}")
 
 
+#: Corpora whose items name a file alone, and the data set whose catalogue has its path.
+CATALOGUED = {"cpsc-test": "cpsc", "csn-test-no-cot": "csn"}
+
+
+def catalogued_keys(items: DataFrame, file_name: str, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items with key, the catalogue's path of their file with `_` for `/`, and the items whose file it does not have.
+
+    catalogue: name, path; of several paths of one name the last counts.
+    """
+    paths = catalogue.groupBy(F.col("name").alias(file_name)).agg(F.replace(F.max("path"), F.lit("/"), F.lit("_")).alias("key"))
+    both = items.join(paths, file_name, "left")
+    return both.where("key IS NOT NULL"), both.where("key IS NULL").drop("key")
+
+
+#: Rate and shape (samples, leads) that a data set's recordings must have; null: any.
+SHAPES = {"mimic": (500, 5000, 12), "ptb": (500, 5000, 12), "csn": (500, 5000, 12), "code15": (400, 4096, 12), "cpsc": (500, None, None)}
+
+
+def rejections(dataset: Column, rate: Column, samples: Column, leads: Column) -> Column:
+    """Why a recording is not taken: its data set, rate or shape; null where it is."""
+    reason = F.when(~F.coalesce(dataset.isin(*SHAPES), F.lit(False)), "dataset")
+    for name, (hertz, n, k) in SHAPES.items():
+        reason = reason.when((dataset == name) & ~F.coalesce(rate == hertz, F.lit(False)), "rate")
+        if n is not None:
+            reason = reason.when((dataset == name) & ~F.coalesce((samples == n) & (leads == k), F.lit(False)), "shape")
+    return reason
+
+
+def instance_rejections(samples: Column, report: Column) -> Column:
+    """Why an instance is not kept: no signal, or no report."""
+    return F.when(~F.coalesce(samples > 0, F.lit(False)), "signal").when(F.coalesce(report, F.lit("")) == "", "report")
+
+
+def input_rejections(signal: Column) -> Column:
+    """Why a signal (an array of leads) does not go to a tokenizer: it is missing, empty, or has a NaN."""
+    numbers = F.flatten(signal)
+    return F.when(signal.isNull() | numbers.isNull(), "missing").when(F.size(numbers) == 0, "empty").when(F.exists(numbers, lambda x: x.isNull() | F.isnan(x)), "nan")
+
+
+def taken(rows: DataFrame, reason: Column, name: str = "taken") -> tuple[DataFrame, Observation]:
+    """The rows without a reason against them, and counts of rows seen and skipped, known once the rows have been computed."""
+    counts = Observation(name)
+    marked = rows.withColumn("_reason", reason)
+    seen = marked.observe(counts, F.count(F.lit(1)).alias("seen"), F.count("_reason").alias("skipped"))
+    return seen.where("_reason IS NULL").drop("_reason"), counts
+
+
+def catalogue_sample(rows: DataFrame, key: str, dev: int | None = None, toy: bool = False) -> DataFrame:
+    """The first `dev` rows in the order of key if dev is given, then an exact sample of 60 % of what is left if toy."""
+    if dev is not None:
+        rows = rows.orderBy(key).limit(dev)
+    return sample_fraction(rows, key, 0.6) if toy else rows
+
+
+def paired_fraction(left: DataFrame, right: DataFrame, position: str, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The same positions of two lists, a fraction of them."""
+    kept = sample_fraction(left.select(position), position, fraction, seed)
+    return left.join(kept, position, "left_semi"), right.join(kept, position, "left_semi")
+
+
+def shuffled(rows: DataFrame, key: str, epoch: int, shards: int = 1, seed: int = 0) -> DataFrame:
+    """rows with shard and pos: an order drawn anew for each epoch and dealt to shards in turn, as a distributed sampler deals it.
+
+    All shards get equally many rows: the first rows come again at the end where the number does not divide. Ranks come from
+    the counts of 65536 hash buckets, so no task orders more than a bucket.
+    """
+    drawn = rows.withColumn("_h", uniform(seed * 1_000_003 + epoch, F.col(key))).withColumn("_b", F.floor(F.col("_h") * 65536))
+    counts = drawn.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # 65536 rows at most
+    own = Window.partitionBy("_b").orderBy("_h", key)
+    placed = drawn.join(F.broadcast(starts), "_b").withColumn("_at", F.col("_start") + F.row_number().over(own) - 1)
+    whole = F.ceil(F.col("_all") / shards) * shards
+    dealt = placed.withColumn("_at", F.explode(F.sequence("_at", whole - 1, "_all")))
+    return dealt.withColumn("shard", (F.col("_at") % shards).cast("int")).withColumn("pos", F.floor(F.col("_at") / shards)).drop("_h", "_b", "_start", "_all", "_at")
+
+
 def segment_stem(path: Column, index: Column) -> Column:
     return F.concat_ws("_", F.replace(path, F.lit("/"), F.lit("_")), index.cast("string"))
 
@@ -126,7 +204,8 @@ def decoded(text: Column, schema: str) -> Column:
 
 
 #: What a representation of the signal may be joined with.
-ENCODERS = {"token": {None, "signal2vec"}, "image": {"clip", "siglip", "vit"}, "stacked_signal": {"clip", "siglip", "vit"}, "signal": {"st_mem", "merl", "mtae", "mlae", "projection"}}
+_VISION = {"clip-vit-base-patch32", "siglip-base-patch16-224", "vit-base-patch16-224-in21k"}
+ENCODERS = {"token": {None, "signal2vec"}, "image": _VISION, "stacked_signal": _VISION, "signal": {"signal2vec", "merl", "st_mem", "mtae", "mlae", "projection"}}
 
 
 def check_encoder(representation: str, encoder: str | None) -> None:

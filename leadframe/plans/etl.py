@@ -165,3 +165,77 @@ g AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS i
 def q36_response_ranges(spark, sf_dir):
     """Ranges of a user's neighbouring events that are no views."""
     return etl.runs(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], F.col("event_type") != "view")
+
+
+SHAPED = "(ARRAY['mimic', 'ptb', 'csn', 'code15', 'cpsc', 'other'])[doc_id % 6 + 1] AS dataset, CASE WHEN doc_id % 5 = 0 THEN 400 WHEN doc_id % 7 = 0 THEN NULL ELSE 500 END AS rate, CASE WHEN doc_id % 3 = 0 THEN 4096 ELSE 5000 END AS samples, CASE WHEN doc_id % 11 = 0 THEN 8 ELSE 12 END AS leads"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {SHAPED}, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS report, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE 1250 END AS size FROM documents)
+SELECT doc_id, CASE WHEN dataset = 'other' THEN 'dataset' WHEN coalesce(rate, 0) <> (CASE dataset WHEN 'code15' THEN 400 ELSE 500 END) THEN 'rate' WHEN dataset = 'code15' AND (samples <> 4096 OR leads <> 12) THEN 'shape' WHEN dataset IN ('mimic', 'ptb', 'csn') AND (samples <> 5000 OR leads <> 12) THEN 'shape' END AS record,
+ CASE WHEN size = 0 THEN 'signal' WHEN report = '' THEN 'report' END AS instance FROM r""")
+def q101_rejections(spark, sf_dir):
+    """Why recordings are not taken by their data set's rate and shape, and why instances are not kept."""
+    d = F.col("doc_id")
+    dataset = F.element_at(F.array(*[F.lit(x) for x in ("mimic", "ptb", "csn", "code15", "cpsc", "other")]), (d % 6 + 1).cast("int"))
+    rate = F.when(d % 5 == 0, 400).when(d % 7 == 0, None).otherwise(500)
+    record = etl.rejections(dataset, rate, F.when(d % 3 == 0, 4096).otherwise(5000), F.when(d % 11 == 0, 8).otherwise(12))
+    instance = etl.instance_rejections(F.when(d % 17 == 0, 0).otherwise(1250), F.when(d % 13 == 0, "").otherwise(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", record.alias("record"), instance.alias("instance"))
+
+
+@query("SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty' WHEN 2 THEN 'nan' END AS reason FROM events GROUP BY 1")
+def q102_input_guard(spark, sf_dir):
+    """Signals that a tokenizer does not take: missing, empty, or with a NaN."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("x"))
+    u, none = F.col("user_id") % 5, F.lit(None).cast("array<array<double>>")
+    signal = F.when(u == 0, none).when(u == 1, F.array(F.slice("x", 1, 0))).when(u == 2, F.array(F.col("x"), F.array(F.lit(float("nan"))))).otherwise(F.array("x"))
+    return rows.select("user_id", etl.input_rejections(signal).alias("reason"))
+
+
+@query("""WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY (('0x' || substr(md5('3:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+a AS (SELECT doc_id, i FROM h UNION ALL SELECT doc_id, i + n FROM h WHERE i < (7 - n % 7) % 7) SELECT doc_id, (i % 7)::INT AS shard, (i // 7)::BIGINT AS pos FROM a""")
+def q108_shuffle(spark, sf_dir):
+    """Documents in the order of epoch 3, dealt to seven shards of one length."""
+    return etl.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", epoch=3, shards=7)
+
+
+@query("""WITH k AS (SELECT doc_id FROM documents ORDER BY (doc_id * 2654435761 + 42) % 4294967296, doc_id LIMIT (SELECT greatest(1, floor(0.3 * count(*))::BIGINT) FROM documents))
+SELECT 'left' AS side, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents JOIN k USING (doc_id) UNION ALL SELECT 'right', count(*), sum(doc_id)::BIGINT FROM labels JOIN k USING (doc_id)""")
+def q109_paired_sample(spark, sf_dir):
+    """The same positions of two lists."""
+    left, right = etl.paired_fraction(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id", 0.3)
+    one = lambda side, rows: rows.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+    return one("left", left).union(one("right", right))
+
+
+@query("""WITH d AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1000) SELECT doc_id FROM d ORDER BY (doc_id * 2654435761 + 42) % 4294967296, doc_id LIMIT (SELECT greatest(1, floor(0.6 * count(*))::BIGINT) FROM d)""")
+def q110_dev_then_toy(spark, sf_dir):
+    """The first thousand rows, then 60 % of them: limits that are the feature."""
+    return etl.catalogue_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", dev=1000, toy=True)
+
+
+@query("""WITH p AS (SELECT page_id, split_part(url, '?', 1) AS path, split_part(string_split(split_part(url, '?', 1), '/')[-1], '.', 1) AS name FROM pages), c AS (SELECT name, max(path) AS path FROM p WHERE page_id % 3 > 0 GROUP BY 1)
+SELECT page_id, replace(c.path, '/', '_') AS key FROM p LEFT JOIN c USING (name)""")
+def q111_catalogued_keys(spark, sf_dir):
+    """Items that name a file alone, looked up in a catalogue that has two thirds of the pages."""
+    path = F.substring_index("url", "?", 1)
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.substring_index(F.substring_index(path, "/", -1), ".", 1).alias("name"))
+    found, unknown = etl.catalogued_keys(rows.select("page_id", "name"), "name", rows.where("page_id % 3 > 0").select("name", "path"))
+    return found.select("page_id", "key").union(unknown.select("page_id", F.lit(None).cast("string")))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(split_part(url, '?', 1), '^https?://', '') AS path FROM pages), a AS (SELECT page_id, string_split(path, '/') AS a, string_split(path, '/')[-1] AS l FROM p)
+SELECT page_id, array_to_string(a, '_') AS plain, array_to_string(a[2:], '_') AS grounding_mimic, array_to_string(a[3:], '_') AS grounding_ptb, l AS grounding_code15,
+ CASE WHEN len(a) > 1 THEN array_to_string(list_concat(['files'], a[1:-2], [split_part(l || '-0.png', '-', 1)]), '_') ELSE 'files_' || split_part(l || '-0.png', '-', 1) END AS pulse_mimic,
+ 'records500_' || substr(split_part(l, '_', 1) || '_hr', 1, 2) || '000_' || split_part(l, '_', 1) || '_hr' AS pulse_ptb, split_part(l, '-', 1) AS pulse_code15, 'records500_' || substr(l, 1, 2) || '000_' || l AS test_ptb FROM a""")
+def q112_path_rules(spark, sf_dir):
+    """The key rules of every corpus."""
+    path = F.regexp_replace(F.substring_index("url", "?", 1), "^https?://", "")
+    p, last = F.col("path"), F.substring_index("path", "/", -1)
+    under = lambda head, tail="": F.concat(F.lit(head), p, F.lit(tail))
+    rules = {
+        "plain": ("ecg_instruct_45k", p), "grounding_mimic": ("ecg_grounding", F.concat(F.lit("mimic-iv/"), F.regexp_replace(p, "^[^/]*/?", ""))), "grounding_ptb": ("ecg_grounding", F.concat(F.lit("ecg_ptbxl_benchmarking/"), p)),
+        "grounding_code15": ("ecg_grounding", under("code15/")), "pulse_mimic": ("ecg_instruct_pulse", under("mimic_v4/", "-0.png")), "pulse_ptb": ("ecg_instruct_pulse", under("ptb-xl/")), "pulse_code15": ("ecg_instruct_pulse", under("code15_v4/")), "test_ptb": ("ptb-test", last),
+    }
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return rows.select("page_id", *[etl.key_of(corpus, c).alias(name) for name, (corpus, c) in rules.items()])

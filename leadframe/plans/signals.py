@@ -50,16 +50,32 @@ def q04_reconstruction_error(spark, sf_dir):
     return signal.reconstruction_error(table(spark, sf_dir, "events"), "user_id")
 
 
-@query("""WITH s AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2), k AS (SELECT DISTINCT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS lead FROM events)
-SELECT user_id, event_type, CASE lead WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE lead END::BIGINT AS target FROM s JOIN k USING (event_type)""")
+TWELVE = "SELECT user_id // 4 AS record, user_id % 4 || event_type AS lead, ts, event_id, value FROM events"
+
+
+def twelve_leads(spark, sf_dir):
+    """Records of four users, up to twenty leads each: user and event type."""
+    lead = F.concat((F.col("user_id") % 4).cast("string"), F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 4).alias("record"), lead.alias("lead"), *ORDER, "value")
+    return signal.lead_major(rows, "record", "lead", ORDER)
+
+
+@query(f"""WITH e AS ({TWELVE}), l AS (SELECT record, lead, row_number() OVER (PARTITION BY record ORDER BY lead) - 1 AS source, count(*) AS n, sum(value) AS total, arg_min(value, (ts, event_id)) AS first FROM e GROUP BY 1, 2)
+SELECT record::BIGINT AS record, CASE source WHEN 5 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE source END::BIGINT AS target, n, {R6.format('total')} AS total, {R6.format('first')} AS first FROM l WHERE source < 12""")
 def q05_lead_reorder(spark, sf_dir):
-    """Where each lead of a mimic recording goes; the leads there are the event types in name order."""
-    place = {source: target for target, source in enumerate(signal.LEAD_ORDER["mimic"])}
-    events = table(spark, sf_dir, "events")
-    leads = events.select("event_type").distinct().agg(F.array_sort(F.collect_set("event_type")).alias("leads"))  # a dozen leads
-    target = F.create_map(*[F.lit(x).cast("long") for p in place.items() for x in p])
-    rows = events.select(*LEAD).distinct().crossJoin(F.broadcast(leads))
-    return rows.select(*LEAD, F.element_at(target, F.array_position("leads", F.col("event_type")) - 1).alias("target"))
+    """The samples of twelve leads in a mimic recording's target order, as count, sum and first value of each place."""
+    rows = signal.reorder_leads(twelve_leads(spark, sf_dir), "mimic").select("record", F.posexplode("signal").alias("target", "x")).where("x IS NOT NULL")
+    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+    return rows.select("record", F.col("target").cast("long").alias("target"), F.size("x").cast("long").alias("n"), r6(total).alias("total"), r6(F.col("x")[0]).alias("first"))
+
+
+@query(f"""WITH e AS ({TWELVE}), o AS (SELECT record, value, row_number() OVER (PARTITION BY record ORDER BY lead, ts, event_id) AS i FROM e)
+SELECT record::BIGINT AS record, count(*) AS n, {R6.format('sum(value * (i % 97))')} AS weighted FROM o GROUP BY 1""")
+def q99_flatten(spark, sf_dir):
+    """All leads of a record in one array; its length and a sum weighted by place."""
+    rows = signal.flattened(twelve_leads(spark, sf_dir))
+    weighted = F.aggregate(F.transform("signal", lambda x, i: x * ((i + 1) % 97)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("record", F.size("signal").cast("long").alias("n"), r6(weighted).alias("weighted"))
 
 
 @query(f"""WITH d AS (SELECT user_id, event_type, value - lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS d FROM events)
@@ -71,7 +87,7 @@ def q06_differences(spark, sf_dir):
 @query(f"WITH {BOUNDS} SELECT event_id, floor({UNIT} * 255)::BIGINT AS pixel, 0.0::DOUBLE AS blackout FROM events JOIN b USING (user_id)")
 def q07_stacked_levels(spark, sf_dir):
     rows = signal.stacked_levels(table(spark, sf_dir, "events"), "user_id")
-    return rows.select("event_id", "pixel", F.lit(0.0).alias("blackout"))
+    return signal.blackout(rows, "blackout").select("event_id", "pixel", "blackout")
 
 
 @query()
@@ -117,12 +133,13 @@ def q90_sin_cos(spark, sf_dir):
 
 @query()
 def q97_lead_features(spark, sf_dir):
-    """The 24 features of each record's flattened signal at 250 Hz."""
+    """The 24 features of ten users' flattened signals at 250 Hz: 224 samples and more, so that all five wavelet levels are there."""
     def run(key, pdf):
-        values = kernels.lead_features(pdf.sort_values(FLAT)["value"].to_numpy(), 250.0)
-        return pd.DataFrame({"user_id": [key[0]], "features": [values]})
+        values = kernels.lead_features(pdf.sort_values(["user_id", *FLAT])["value"].to_numpy(), 250.0)
+        return pd.DataFrame({"record": [key[0]], "features": [values]})
 
-    return table(spark, sf_dir, "events").select("user_id", *FLAT, "value").groupBy("user_id").applyInPandas(run, "user_id long, features array<double>")
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).alias("record"), "user_id", *FLAT, "value")
+    return signal.cleaned(rows).groupBy("record").applyInPandas(run, "record long, features array<double>")
 
 
 @query(f"""WITH {PLACED}, w AS (SELECT *, lag(value) OVER q AS a, lead(value) OVER q AS c FROM p WINDOW q AS (PARTITION BY user_id ORDER BY event_type, ts, event_id)),
@@ -139,9 +156,18 @@ def q94_heart_rate(spark, sf_dir):
     return rr.groupBy("user_id").agg(r6(60 / (F.avg("rr") / 250.0)).alias("heart_rate"), r6(F.stddev_pop(F.col("rr") / 250.0)).alias("hrv"), F.count("rr").alias("n")).where("n > 0").drop("n")
 
 
-@query(f"WITH q AS (SELECT quantile_cont(abs(value), 0.95) AS b FROM events) SELECT event_id, {R6.format('greatest(least(value, b), -b)')} AS value FROM events, q")
+@query(f"WITH q AS (SELECT user_id, quantile_cont(abs(value), 0.95) AS q FROM events GROUP BY 1), b AS (SELECT avg(q) AS b FROM q) SELECT event_id, {R6.format('greatest(least(value, b), -b)')} AS value FROM events, b")
 def q98_outlier_clamp(spark, sf_dir):
-    return signal.clamp_outliers(table(spark, sf_dir, "events").select("event_id", "value"), "value", 0.95).select("event_id", r6(F.col("value")).alias("value"))
+    """Clamped to the mean of the records' 95 % quantiles."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return signal.clamp_outliers(rows, "user_id", "value", 0.95).select("event_id", r6(F.col("value")).alias("value"))
+
+
+@query(f"WITH o AS (SELECT abs(value) AS v, row_number() OVER (ORDER BY abs(value)) - 1 AS i, count(*) OVER () AS n FROM events), b AS (SELECT max(v) AS b FROM o WHERE i = floor(0.95 * n)) SELECT event_id, {R6.format('greatest(least(value, b), -b)')} AS value FROM events, b")
+def q107_outlier_clamp_exact(spark, sf_dir):
+    """Clamped to the value at 95 % of all in order."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return signal.clamp_outliers(rows, "user_id", "value", 0.95, exact=True).select("event_id", r6(F.col("value")).alias("value"))
 
 
 @query("""SELECT event_type AS epoch, count(*) AS steps, floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean_loss, floor(sum(value) * 1e3 + 0.5) / 1e3 AS total_loss FROM events GROUP BY 1""")
@@ -179,3 +205,53 @@ def q95_noise(spark, sf_dir):
     """Seeded noise and baseline wander."""
     rows = signal.noisy(table(spark, sf_dir, "events").select("event_id", *LEAD, "ts", "value"), "user_id", "event_type", ORDER, "event_id")
     return rows.select("event_id", r6(F.col("value")).alias("value"))
+
+
+@query(f"""WITH r AS (SELECT event_id, user_id, CASE event_id % 11 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE value END AS raw FROM events),
+c AS (SELECT event_id, user_id, CASE WHEN isnan(raw) OR isinf(raw) THEN 0.0 ELSE raw END AS value FROM r), b AS (SELECT user_id, min(value) AS low, max(value) AS high FROM c GROUP BY 1)
+SELECT event_id, floor({UNIT} * 255)::BIGINT AS pixel FROM c JOIN b USING (user_id)""")
+def q100_clean_levels(spark, sf_dir):
+    """Levels of signals with NaN and infinities, which count as 0."""
+    value = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 1, F.lit(float("inf"))).when(F.col("event_id") % 11 == 2, F.lit(float("-inf"))).otherwise(F.col("value"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", value.alias("value"))
+    return signal.stacked_levels(rows, "user_id").select("event_id", "pixel")
+
+
+NOISE = f"""n AS (SELECT event_id, user_id, value, {{v}} + CASE WHEN {_draw(13, 'user_id')} < 0.5 THEN 0.05::DOUBLE * s * sqrt(-2 * ln({_draw(11, 'event_id')})) * cos(2 * pi() * {_draw(12, 'event_id')}) + CASE WHEN {_draw(14, 'user_id')} < 0.5 THEN 0.07::DOUBLE * m * sin((floor({_draw(15, 'user_id')} * 5) + 1) * pi() * idx / greatest(n - 1, 1)) ELSE 0.0 END ELSE 0.0 END AS noisy FROM p JOIN s USING (user_id))"""
+
+
+@query(f"""WITH {BOUNDS}, {PLACED.replace('FROM events', 'FROM (SELECT events.*, ' + UNIT + ' AS u FROM events JOIN b USING (user_id))')}, s AS (SELECT user_id, stddev_pop(u) AS s, max(abs(u)) AS m FROM p GROUP BY 1), {NOISE.format(v='u')},
+t AS (SELECT user_id, stddev_pop(value) AS s, max(abs(value)) AS m FROM p GROUP BY 1), {NOISE.format(v='value').replace('n AS', 'r AS', 1).replace('JOIN s', 'JOIN t')}, rb AS (SELECT user_id, min(noisy) AS low, max(noisy) AS high FROM r GROUP BY 1)
+SELECT event_id, {R6.format('n.noisy')} AS signal, {R6.format(UNIT.replace('value', 'r.noisy'))} AS token FROM n JOIN r USING (event_id) JOIN rb ON r.user_id = rb.user_id""")
+def q103_perturbation_order(spark, sf_dir):
+    """The signal's way (normalised, then perturbed) and the tokens' (perturbed raw, then normalised)."""
+    events = table(spark, sf_dir, "events").select("event_id", *LEAD, "ts", "value")
+    ways = [signal.perturbed(events, "user_id", "event_type", ORDER, "event_id", name).select("event_id", r6(F.col("value")).alias(name)) for name in ("signal", "token")]
+    return ways[0].join(ways[1], "event_id")
+
+
+@query(f"""WITH {PLACED}, w AS (SELECT * FROM p WHERE idx < 3), l AS (SELECT user_id FROM w GROUP BY 1 HAVING count(*) = 15), x AS (SELECT w.* FROM w JOIN l USING (user_id))
+SELECT user_id, 'time' AS layout, (idx // 3)::VARCHAR AS patch, md5(string_agg(event_id::VARCHAR, ',' ORDER BY idx, event_type)) AS digest FROM x GROUP BY user_id, idx // 3
+UNION ALL SELECT user_id, 'leads', event_type, md5(string_agg(event_id::VARCHAR, ',' ORDER BY idx)) FROM x GROUP BY user_id, event_type
+UNION ALL SELECT user_id, 'lead_time', event_type || ':' || (idx // 3), md5(string_agg(event_id::VARCHAR, ',' ORDER BY idx)) FROM x GROUP BY user_id, event_type, idx // 3""")
+def q104_patches(spark, sf_dir):
+    """The three patch layouts over the first three samples of five leads; the ids of the samples in each patch."""
+    placed = signal.with_position(table(spark, sf_dir, "events").select("event_id", *LEAD, "ts"), LEAD, ORDER).where("idx < 3")
+    whole = placed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n = 15").select("user_id")
+    rows = placed.join(whole, "user_id")
+    digest = F.md5(F.array_join(F.col("values").cast("array<string>"), ",").cast("binary"))
+    out = None
+    for layout, patch in (("time", F.col("patch").cast("string")), ("leads", F.col("patch")), ("lead_time", F.concat_ws(":", "event_type", F.col("patch").cast("string")))):
+        one = signal.patches(rows, 3, layout, "user_id", "event_type", "event_id").select("user_id", F.lit(layout).alias("layout"), patch.alias("patch"), digest.alias("digest"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"SELECT user_id, event_type, 'ECG Lead ' || event_type || ' - sampled at ~250Hz, normalized (mean=' || printf('%.3f', {R6.format('avg(value)')}) || ', std=' || printf('%.3f', {R6.format('stddev_pop(value)')}) || ')' AS caption FROM events GROUP BY 1, 2")
+def q105_captions(spark, sf_dir):
+    return signal.captions(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query("SELECT event_id, (value::REAL)::DOUBLE AS value FROM events")
+def q106_single_precision(spark, sf_dir):
+    return signal.single(table(spark, sf_dir, "events")).select("event_id", F.col("value").cast("double").alias("value"))
