@@ -11,8 +11,9 @@ those, in the best of the languages, is in none of them: its score, the posterio
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, small_parts, stored
+from .common import documents, small_parts, stored
 
 #: Runs of up to so many letters are scored many at a time; longer ones one at a time, whole. The fit counts these in parts of this length.
 WORD_CHARS = 32
@@ -46,51 +47,67 @@ def letter_words(text: str) -> list[str]:
 class Pieces:
     """The vocabulary as a hash table of substrings; entry 0 stands for any single character without a piece."""
 
+    BITS = 18  # some thirteen slots for a piece: a table that stays in a core's cache
+
     def __init__(self, pieces: list[str]):
         kept = sorted({p for p in pieces if p})
         self.size, self.longest = len(kept) + 1, max(map(len, kept), default=1)
-        self.bits = np.uint64(64 - 21)
-        self.key, self.id = np.zeros(1 << 21, "u8"), np.zeros(1 << 21, "i4")
+        self.key, self.id, self.more = np.zeros(1 << self.BITS, "u8"), np.zeros(1 << self.BITS, "i4"), np.zeros(1 << self.BITS, bool)
         spill = {}
         for i, p in enumerate(kept, 1):
             h = np.uint64(0)
             with np.errstate(over="ignore"):
                 for c in p:
                     h = h * _STEP + np.uint64(ord(c) + 1)
-                slot = int((h * _SLOT) >> self.bits)
+                slot = int(self._slot(h))
             if self.id[slot]:
-                spill[int(h)] = i  # few: looked up one by one
+                spill[int(h)] = i
+                self.more[slot] = True
             else:
                 self.key[slot], self.id[slot] = h, i
         self.spill_keys = np.array(sorted(spill), "u8")
         self.spill_ids = np.array([spill[int(k)] for k in self.spill_keys], "i4")
 
+    def _slot(self, h):
+        return (h * _SLOT) >> np.uint64(64 - self.BITS)
+
     def lattice(self, words: list[str]) -> list[np.ndarray]:
         """For words of one length L: at k - 1 the ids [word, start] of the substrings of k characters, 0 where there is no piece."""
         chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype("u8") + np.uint64(1)
         out, h = [], np.zeros_like(chars)
         for k in range(1, min(self.longest, chars.shape[1]) + 1):
             h = h[:, : chars.shape[1] - k + 1] * _STEP + chars[:, k - 1 :]
-            slot = (h * _SLOT) >> self.bits
+            slot = self._slot(h)
             ids = np.where(self.key[slot] == h, self.id[slot], 0)
-            if len(self.spill_keys):
-                at = np.minimum(np.searchsorted(self.spill_keys, h), len(self.spill_keys) - 1)
-                ids = np.where(self.spill_keys[at] == h, self.spill_ids[at], ids)
+            if len(self.spill_keys) and (rest := np.flatnonzero(self.more[slot].ravel() & (ids.ravel() == 0))).size:
+                asked = h.ravel()[rest]
+                at = np.minimum(np.searchsorted(self.spill_keys, asked), len(self.spill_keys) - 1)
+                ids.ravel()[rest] = np.where(self.spill_keys[at] == asked, self.spill_ids[at], 0)
             out.append(ids)
         return out
 
 
 def forward(lattice: list[np.ndarray], probs: np.ndarray) -> np.ndarray:
-    """[word, position, language]: the summed probability of all segmentations of each prefix. probs[0] counts for single characters only."""
+    """[word, position, language]: the summed probability of all segmentations of each prefix. probs[0] counts for single characters only.
+
+    Pieces of two characters and more cover few of the substrings, so only those that are pieces are summed.
+    """
     n, length = lattice[0].shape
-    alpha = np.zeros((n, length + 1, probs.shape[1]))
-    alpha[:, 0] = 1
-    longer = probs.copy()
-    longer[0] = 0
+    alpha = np.zeros((length + 1, n, probs.shape[1]))
+    alpha[0] = 1
+    ends: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+    for k in range(2, len(lattice) + 1):
+        ids = lattice[k - 1].T
+        starts, rows = np.nonzero(ids)
+        found, bounds = ids[starts, rows], np.searchsorted(starts, np.arange(ids.shape[0] + 1))
+        for start, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if a < b:
+                ends[start + k].append((start, rows[a:b], found[a:b]))
     for i in range(1, length + 1):
-        for k in range(1, min(i, len(lattice)) + 1):
-            alpha[:, i] += alpha[:, i - k] * (probs if k == 1 else longer)[lattice[k - 1][:, i - k]]
-    return alpha
+        alpha[i] = alpha[i - 1] * probs[lattice[0][:, i - 1]]
+        for start, rows, found in ends[i]:
+            alpha[i, rows] += alpha[start, rows] * probs[found]
+    return alpha.transpose(1, 0, 2)
 
 
 def long_score(pieces: Pieces, word: str, probs: np.ndarray) -> np.ndarray:
@@ -243,38 +260,40 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
 
 
 class Judge:
-    """Languages of texts in a worker, with a cache of word likelihoods: a table whose rows the cached words name."""
+    """Languages of texts in a worker, with a cache of word likelihoods: a table, and each known word's row in it."""
 
-    def __init__(self, languages: list[str], names: list[str], probs: np.ndarray, levels: np.ndarray, most: int = 200_000):
+    def __init__(self, languages: list[str], names: list[str], probs: np.ndarray, levels: np.ndarray, most: int = 500_000):
         self.languages, self.levels, self.model, self.most = languages, levels, Model(languages, names, probs.astype("f8")), most
         self._clear()
 
     def _clear(self) -> None:
-        self.cache, self.used = WordCache(self._rows, most=self.most), 0
+        self.row_of, self.used = defaultdict(count().__next__), 0  # a word that is looked up for the first time takes the next row
         self.table, self.letters = np.zeros((1024, len(self.languages))), np.zeros(1024, "i8")
 
-    def _rows(self, words: list[str]) -> range:
-        """Puts the words' likelihoods into the table; the rows that they take."""
-        to = self.used + len(words)
+    def _learn(self) -> None:
+        """Fills the rows that new words took."""
+        if len(self.row_of) == self.used:
+            return
+        new, to = list(islice(self.row_of, self.used, None)), len(self.row_of)
         if to > len(self.table):
             more = max(to, 2 * len(self.table)) - len(self.table)
             self.table, self.letters = np.pad(self.table, ((0, more), (0, 0))), np.pad(self.letters, (0, more))
-        self.table[self.used : to] = self.model.word_scores(words)
-        self.letters[self.used : to] = [len(w) for w in words]
-        rows, self.used = range(self.used, to), to
-        return rows
+        self.table[self.used : to] = self.model.word_scores(new)
+        self.letters[self.used : to] = [len(w) for w in new]
+        self.used = to
 
     def sums(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, int, int]]:
         """Of each text the summed log likelihoods by language, the sum of each word's greatest, letters and words."""
-        if self.used > 2 * self.most:
+        if self.used > self.most or self.letters[: self.used].sum() > 20 * self.most:
             self._clear()
-        for own in self.cache.values([letter_words(t) if self.languages else [] for t in texts]):
-            total, best, letters = np.zeros(len(self.languages)), 0.0, 0
-            for at in range(0, len(own), 1 << 16):  # of a very long text so many words at once
-                rows = np.array(own[at : at + (1 << 16)], "i8")
-                got = self.table[rows]
-                total, best, letters = total + got.sum(0), best + float(got.max(1).sum()), letters + int(self.letters[rows].sum())
-            yield total, best, letters, len(own)
+        rows_of = [np.fromiter(map(self.row_of.__getitem__, own), "i8", len(own)) for own in (letter_words(t) if self.languages else [] for t in texts)]
+        self._learn()
+        for rows in rows_of:
+            total, best = np.zeros(len(self.languages)), 0.0
+            for at in range(0, len(rows), 1 << 16):  # of a very long text so many words at once
+                got = self.table[rows[at : at + (1 << 16)]]
+                total, best = total + got.sum(0), best + float(got.max(1).sum())
+            yield total, best, int(self.letters[rows].sum()), len(rows)
 
     def languages_of(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
         pred, score, letters = [], [], []
