@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,32 +141,69 @@ def with_slots(df: DataFrame, group: list[str], tie: list[str], label: str, rows
 
 
 class WordCache:
-    """word -> value for the words of an executor's batches, with a bound on its size; long words go first when it is reached."""
-
-    def __init__(self, make: Callable[[list], Iterable], most: int = 300_000, keep_len: int = 9):
-        self.make, self.most, self.keep_len, self.of, self.huge = make, most, keep_len, {}, []
-
-    def learn(self, words: Iterable) -> dict:
-        """The cache, with all of words in it. words: the distinct words of a batch."""
-        for w in self.huge:  # too long to keep from one batch to the next
-            self.of.pop(w, None)
-        if len(self.of) > self.most:
-            kept = {k: v for k, v in self.of.items() if len(k) <= self.keep_len}
-            self.of = kept if len(kept) < self.most // 2 else {}
-        if new := [w for w in words if w not in self.of]:
-            self.of.update(zip(new, self.make(new), strict=True))
-        self.huge = [w for w in new if len(w) > 64] if new else []
-        return self.of
+    """word -> value for the words of an executor's batches, with a bound on its size.
+
+    A word that is looked up for the first time takes the next place; new words get their values together, after a part's
+    words have all been looked up. When the bound is reached the half that came first stays: frequent words come early.
+    """
+
+    def __init__(self, make: Callable[[list], Iterable], most: int = 300_000, mean_len: int = 20):
+        self.make, self.most, self.mean_len = make, most, mean_len
+        self._keep([])
+
+    def _keep(self, words: list) -> None:
+        self.place_of = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        self.length = sum(map(len, words))
+        self._cut(len(words))
+
+    def _cut(self, n: int) -> None:
+        self.data = getattr(self, "data", [])[:n]
+
+    def _add(self, values: Iterable) -> None:
+        self.data.extend(values)
+
+    def _learn(self) -> None:
+        if new := list(islice(self.place_of, len(self), None)):
+            self.length += sum(map(len, new))
+            self._add(self.make(new))
+
+    def _bound(self) -> None:
+        if len(self) > self.most or self.length > self.most * self.mean_len:
+            kept = list(islice(self.place_of, self.most // 2))
+            self._keep(kept if sum(map(len, kept)) <= self.most * self.mean_len // 2 else [])
+
+    def __len__(self) -> int:
+        return len(self.data)
 
     def values(self, cut: list[list]) -> list[list]:
-        """The values of each text's words, in order; no value may be None. Words already known are looked up once."""
-        self.learn(())
-        got = [list(map(self.of.get, own)) for own in cut]
-        missing = {w for own, v in zip(cut, got, strict=True) if None in v for w, x in zip(own, v, strict=True) if x is None}
-        if missing:
-            of = self.learn(missing)
-            got = [[of[w] if x is None else x for w, x in zip(own, v, strict=True)] if None in v else v for own, v in zip(cut, got, strict=True)]
-        return got
+        """The values of each text's words, in order."""
+        self._bound()
+        places = [list(map(self.place_of.__getitem__, own)) for own in cut]
+        self._learn()
+        return [list(map(self.data.__getitem__, own)) for own in places]
+
+
+class HashCache(WordCache):
+    """A cache of 64-bit numbers, which come as arrays."""
+
+    def _cut(self, n: int) -> None:
+        self.used, self.numbers = n, getattr(self, "numbers", np.zeros(1024, "u8"))
+
+    def _add(self, values: Iterable) -> None:
+        new = np.array(list(values), "u8")
+        if self.used + len(new) > len(self.numbers):
+            self.numbers = np.concatenate([self.numbers[: self.used], np.zeros(max(self.used, len(new)) + len(new), "u8")])
+        self.numbers[self.used : self.used + len(new)] = new
+        self.used += len(new)
+
+    def __len__(self) -> int:
+        return self.used
+
+    def values(self, cut: list[list]) -> list[np.ndarray]:
+        self._bound()
+        places = [np.fromiter(map(self.place_of.__getitem__, own), "i8", len(own)) for own in cut]
+        self._learn()
+        return [self.numbers[own] for own in places]
 
 
 _WORDS = re.compile(r"[^\W_]+")

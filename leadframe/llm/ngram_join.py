@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, WordCache, documents, joined, mix64, small_parts, stored, with_rows, without_rows
+from .common import ROW, HashCache, documents, joined, mix64, small_parts, stored, with_rows, without_rows
 from .graph import components
 
 BITS = 58
@@ -91,10 +91,10 @@ def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part = WordCache(word_hashes), TaskContext.get().partitionId()
+        cache, part = HashCache(word_hashes), TaskContext.get().partitionId()
         for at, batch in enumerate(small_parts(batches)):
             cut = [t.encode().lower().split() for t in batch.column("text").to_pylist()]
-            sets = [shingles(np.array(v, "u8"), size) for v in cache.values(cut)]
+            sets = [shingles(v, size) for v in cache.values(cut)]
             sizes = np.array([len(s) for s in sets], "i4")
             flat = np.concatenate(sets) if sets else np.zeros(0, "u8")
             doc = np.repeat(np.arange(len(sets)), sizes)

@@ -42,7 +42,7 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: The library takes these strings out of a text before it splits the rest, so texts that have one are encoded whole.
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that depend on their surroundings are not supported")
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -79,7 +79,7 @@ class WordBpe:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian 32-bit numbers."""
-        whole = [i for i, t in enumerate(texts) if self.special.search(t)]
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
         out = [b"".join(v) for v in self.parts.values([[] if i in whole else self.cut(t) for i, t in enumerate(texts)])]
         for i in whole:
             out[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, joined, mix64, plain_words, small_parts, stored
+from .common import HashCache, documents, joined, mix64, plain_words, small_parts, stored
 from .ngram_join import linked_sets
 
 #: Common words of the corpus languages.
@@ -53,10 +53,10 @@ def spots(h: np.ndarray, chain: int = CHAIN) -> np.ndarray:
     return np.unique(acc >> np.uint64(64 - BITS))
 
 
-def signature_sets(texts: list[str], cache: WordCache) -> list[np.ndarray]:
+def signature_sets(texts: list[str], cache: HashCache) -> list[np.ndarray]:
     """Of each text its spots; a text without any has one signature, its own hash, so equal texts always have equal sets."""
     cut = [plain_words(t) for t in texts]
-    sets = [spots(np.array(v, "u8")) for v in cache.values(cut)]
+    sets = [spots(v) for v in cache.values(cut)]
     return [s if len(s) else np.array([xxhash.xxh64_intdigest(t) >> 64 - BITS], "u8") for s, t in zip(sets, texts, strict=True)]
 
 
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_signatures, signatures array<long>, fingerprint of each row of docs; null texts count as empty, equal texts have equal fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(word_values)
+        cache = HashCache(word_values)
         for batch in small_parts(batches):
             sets = signature_sets(batch.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_signatures": pa.array([len(s) for s in sets], pa.int64()), "signatures": pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64())), "fingerprint": pa.array([fingerprint(s) for s in sets], pa.string())})
@@ -156,7 +156,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("range", "ahead", "key", "doc_id", "data"), columns, kinds, strict=True)})
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress, cache = zstandard.ZstdDecompressor(), WordCache(word_values)
+        unpress, cache = zstandard.ZstdDecompressor(), HashCache(word_values)
         before = None  # the row that waits for the one after it: range, doc_id, text, signatures
         for batch in small_parts(batches, "data"):
             ranges, ahead, ids = (batch.column(c).to_pylist() for c in ("range", "ahead", "doc_id"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, mix64, plain_words, small_parts
+from .common import HashCache, documents, mix64, plain_words, small_parts
 from .langid import held_out
 
 BITS = 20
@@ -86,10 +86,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     sample = marked.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(word_hashes)
+        cache = HashCache(word_hashes)
         for batch in small_parts(batches):
             cut = [plain_words(t) for t in batch.column("text").to_pylist()]
-            rows = [np.unique(features(np.array(v, "u8"))).astype("<u4").tobytes() for v in cache.values(cut)]
+            rows = [np.unique(features(v)).astype("<u4").tobytes() for v in cache.values(cut)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "at": pa.array(rows, pa.binary())})
 
     got = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, at binary").toArrow()  # the sample is bounded
@@ -111,13 +111,13 @@ class Scorer:
         self.table, self.used, self.bias = np.zeros(1 << BITS, "f8"), np.zeros(1 << BITS, bool), bias
         self.table[at] = weights
         self.used[at] = True
-        self.cache = WordCache(word_hashes)
+        self.cache = HashCache(word_hashes)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z = np.full(len(texts), self.bias)
         for i, own in enumerate(self.cache.values([plain_words(t) for t in texts])):
-            if own:
-                found = features(np.array(own, "u8"))
+            if len(own):
+                found = features(own)
                 z[i] += self.table[np.unique(found[self.used[found]])].sum()
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
