@@ -14,7 +14,7 @@ import pytest
 import xxhash
 
 from leadframe.llm import exact_dedup, langid, ngram_join, packing, sharding, spotsigs, token_counts, tokens, toxicity, warc
-from leadframe.llm.common import WordCache
+from leadframe.llm.common import HashCache
 from leadframe.llm.graph import components
 
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -180,7 +180,7 @@ def test_knapsack_against_brute_force():
 
 def test_fingerprints(docs, empty, spark):
     got = by_id(spotsigs.with_edits(docs))
-    cache = WordCache(spotsigs.word_values)
+    cache = HashCache(spotsigs.word_values)
     for i, t in enumerate(TEXTS):
         t, after = t or "", TEXTS[(i + 1) % len(TEXTS)] or ""
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
@@ -209,7 +209,7 @@ def brute_spots(text):
 
 
 def test_spots_against_brute_force():
-    cache = WordCache(spotsigs.word_values)
+    cache = HashCache(spotsigs.word_values)
     for text in [t or "" for t in TEXTS[:15]] + ["the a of x", "the the x y z of", "der Hund und die Katze in dem Haus"]:
         want = brute_spots(text)
         got = spotsigs.signature_sets([text], cache)[0]
