@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, joined, removed, stored
 
+#: Up to so many edges one task may hold a star whole; beyond, centres with many edges are joined by broadcast.
+ONE_TASK = 500_000
+
 
 def _joined_to_least(pairs: DataFrame, total: int) -> DataFrame:
     """u, v, m: each pair with the smallest v of its u, if that is smaller than u. A star's centre has many pairs, so it may be hot."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return joined(pairs, least, ["u"], total).select("u", "v", F.least("u", "m").alias("m"))
+    both = joined(pairs, least, ["u"], total) if total > ONE_TASK else pairs.join(least, "u")
+    return both.select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

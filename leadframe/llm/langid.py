@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from itertools import count, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,15 +199,16 @@ def vocabulary(path: str | None = None) -> list[str]:
     return sorted({n for n in names if _LETTERS.fullmatch(n)})
 
 
-def _fitted(seen: pd.DataFrame, pieces: list[str]) -> Model:
+def _fitted(seen: pa.Table, pieces: list[str]) -> Model:
     """A model from lang, word, n: how often each language has each word."""
-    if seen.empty:
+    if not seen.num_rows:
         return Model([], pieces)
-    languages, of = np.unique(seen["lang"].to_numpy(str), return_inverse=True)
-    names, at = np.unique(seen["word"].to_numpy(str), return_inverse=True)
-    table = np.zeros((len(names), len(languages)))
-    np.add.at(table, (at, of), seen["n"].to_numpy(float))
-    return Model([str(x) for x in languages], pieces).fit([str(x) for x in names], table)
+    languages, words = (pc.dictionary_encode(seen.column(c).combine_chunks()) for c in ("lang", "word"))
+    names = [str(x) for x in languages.dictionary.to_pylist()]
+    order = np.argsort(names)
+    table = np.zeros((len(words.dictionary), len(names)), "f4")
+    np.add.at(table, (words.indices.to_numpy(), np.argsort(order)[languages.indices.to_numpy()]), seen.column("n").to_numpy())
+    return Model([names[i] for i in order], pieces).fit(words.dictionary.to_pylist(), table)
 
 
 def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -240,8 +241,9 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
             yield pa.RecordBatch.from_pydict({"lang": pa.array(columns[0], pa.string()), "word": pa.array(columns[1], pa.string()), "half": pa.array(columns[2], pa.int32()), "n": pa.array(list(own.values()), pa.int64())})
 
     words = sample.mapInArrow(run, "lang string, word string, half int, n long").groupBy("lang", "word", "half").agg(F.sum("n").alias("n"))
-    seen = words.toPandas()  # the words of sample_docs documents of each language
-    first, model = _fitted(seen[seen["half"] == 0], pieces), _fitted(seen, pieces)
+    seen = words.orderBy("word", "lang", "half").toArrow()  # the words of sample_docs documents of each language
+    first, model = _fitted(seen.filter(pc.equal(seen.column("half"), 0)), pieces), _fitted(seen, pieces)
+    del seen
     if not first.languages:
         return model
     shared = spark.sparkContext.broadcast((first.languages, first.names, first.probs, first.levels))

@@ -61,10 +61,9 @@ class Ftrl:
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = BITS, rounds: int = 4) -> np.ndarray:
     """Weights of all coordinates, the last one the bias. rows: each document's distinct coordinates."""
     model, draw = Ftrl(bits), np.random.default_rng(7)
-    kept = [np.append(r, 1 << bits) for r in rows]
     for _ in range(rounds):
-        for i in draw.permutation(len(kept)):
-            model.learn(kept[i], int(labels[i]), float(weights[i]))
+        for i in draw.permutation(len(rows)):
+            model.learn(np.append(rows[i], 1 << bits), int(labels[i]), float(weights[i]))
     return model.weights(np.arange((1 << bits) + 1))
 
 
@@ -94,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     got = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, at binary").toArrow()  # the sample is bounded
     got = got.sort_by("doc_id")
-    rows = [np.frombuffer(x, "<u4").astype("i8") for x in got.column("at").to_pylist()]
+    rows = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("at")]
     if not rows:
         return none
     y = got.column("toxic").to_numpy()
