@@ -178,6 +178,21 @@ def paired_fraction(left: DataFrame, right: DataFrame, position: str, fraction:
     return left.join(kept, position, "left_semi"), right.join(kept, position, "left_semi")
 
 
+def ranked(rows: DataFrame, order: list[str], folder: str, name: str = "pos") -> DataFrame:
+    """rows with their place in the order of all, from 0: sorted in ranges, each numbered from where those before it end. Ties go by the order of the columns given, so these should tell rows apart.
+
+    The sorted rows are written under folder, so that a range is the same at both reads.
+    """
+    spark = rows.sparkSession
+    sorted_rows = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sorted_rows.write.mode("overwrite").parquet(folder)
+    back = spark.read.schema(sorted_rows.schema).parquet(folder)
+    counts = back.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each range
+    own = Window.partitionBy("_part").orderBy(*order)
+    return back.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.row_number().over(own) - 1).drop("_part", "_start")
+
+
 def shuffled(rows: DataFrame, key: str, epoch: int, shards: int = 1, seed: int = 0) -> DataFrame:
     """rows with shard and pos: an order drawn anew for each epoch and dealt to shards in turn, as a distributed sampler deals it.
 

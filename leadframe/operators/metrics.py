@@ -69,8 +69,8 @@ def _f_measure(found: Column, ref: Column, hyp: Column) -> Column:
 
 
 def rouge_n(ref: Column, hyp: Column, n: int) -> Column:
-    """F of the sets of n-grams over the words of all sentences."""
-    r, h = (F.array_distinct(ngrams(sentence_words(x), n)) for x in (ref, hyp))
+    """F of the sets of n-grams; ref and hyp: columns that hold the words of all sentences, which are looked at many times."""
+    r, h = (F.array_distinct(ngrams(x, n)) for x in (ref, hyp))
     return _f_measure(F.size(F.array_intersect(r, h)), F.size(r), F.size(h))
 
 
@@ -107,7 +107,8 @@ def report(rows: DataFrame, key: list[str], most: int = 4) -> DataFrame:
     counts = ngram_counts(pairs, key, most)
     meteor_of = F.pandas_udf(lambda a, b: pd.Series([meteor(r.split(), h.split()) for r, h in zip(a, b, strict=True)], dtype="f8"), "double")
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    each = pairs.select("ref", "hyp", meteor_of("ref", "hyp").alias("m"), rouge_l(F.col("ref"), F.col("hyp")).alias("l"), *[rouge_n(F.col("ref"), F.col("hyp"), n).alias(f"r{n}") for n in (1, 2)])
+    each = pairs.select("ref", "hyp", meteor_of("ref", "hyp").alias("m"), rouge_l(F.col("ref"), F.col("hyp")).alias("l"), sentence_words(F.col("ref")).alias("rw"), sentence_words(F.col("hyp")).alias("hw"))
+    each = each.select("ref", "hyp", "m", "l", *[rouge_n(F.col("rw"), F.col("hw"), n).alias(f"r{n}") for n in (1, 2)])
     one = each.agg(F.count(F.lit(1)).alias("num_pairs"), zero(F.avg("m"), "meteor_es"), zero(F.avg("r1"), "rouge_1"), zero(F.avg("r2"), "rouge_2"), zero(F.avg("l"), "rouge_l"), zero(F.avg((F.col("ref") == F.col("hyp")).cast("int")), "accuracy"))
     return one.crossJoin(corpus_bleu(counts)).crossJoin(sentence_bleu(counts, key).agg(zero(F.avg("bleu"), "bleu_sent")))  # one row each
 

@@ -211,3 +211,19 @@ def noisy(samples: DataFrame, record: str, lead: str, order: list[str], sample:
     wander = F.lit(0.07) * F.col("_m") * F.sin(cycles * F.pi() * F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1)))
     added = F.lit(0.05) * F.col("_s") * normal + F.when(uniform(seed + 3, own) < 0.5, wander).otherwise(0.0)
     return placed.join(stats, record).withColumn(value, F.col(value) + F.when(uniform(seed + 2, own) < 0.5, added).otherwise(0.0)).drop("_s", "_m", "_i", "_n")
+
+
+def masked_loss(patches: DataFrame, keys: list[str], target: str, predicted: str, removed: str, standardise: bool = False) -> DataFrame:
+    """keys, loss: the mean over removed patches (1 in `removed`) of a patch's mean square error; null where none is removed.
+
+    standardise: a patch's target is centred and divided by the root of its sample variance plus 1e-6.
+    """
+    n = F.size(target)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    rows = patches
+    if standardise:
+        mean = total(target) / n
+        rows = rows.withColumn("_m", mean).withColumn("_v", total(F.transform(target, lambda x: (x - F.col("_m")) * (x - F.col("_m")))) / (n - 1))
+        rows = rows.withColumn(target, F.transform(target, lambda x: (x - F.col("_m")) / F.sqrt(F.col("_v") + F.lit(1e-6))))
+    error = total(F.zip_with(predicted, target, lambda p, t: (p - t) * (p - t))) / n
+    return rows.select(*keys, F.col(removed).cast("double").alias("_r"), error.alias("_e")).groupBy(*keys).agg((F.sum(F.col("_e") * F.col("_r")) / F.nullif(F.sum("_r"), F.lit(0.0))).alias("loss"))

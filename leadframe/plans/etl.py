@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leadframe.functions import r6
 from leadframe.operators import etl, text
-from leadframe.session import table
+from leadframe.session import scratch, table
+from leadframe.sources import files
 
 from .registry import query
 
@@ -239,3 +240,63 @@ def q112_path_rules(spark, sf_dir):
     }
     rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
     return rows.select("page_id", *[etl.key_of(corpus, c).alias(name) for name, (corpus, c) in rules.items()])
+
+
+@query("SELECT c_custkey, c_name, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_acctbal FROM customer")
+def q125_csv_round_trip(spark, sf_dir):
+    """A table written as CSV and scanned again: blank fields are nulls."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), "c_acctbal")
+    path = scratch(spark, "csv") + "/customer"
+    files.write_table(rows, path, "csv")
+    return files.csv(spark, path, ", ".join(f"{c} {k}" for c, k in rows.dtypes))
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang FROM documents")
+def q126_json_round_trip(spark, sf_dir):
+    """Whole documents written as JSON and scanned again."""
+    rows, path = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), scratch(spark, "json") + "/documents"
+    files.write_json(rows, path)
+    return files.json_lines(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "lang")
+
+
+@query("SELECT url AS path, count(*) AS n FROM pages WHERE page_id % 4 > 0 GROUP BY 1")
+def q127_path_list(spark, sf_dir):
+    """A list of paths written as text, blank lines and all, and read back."""
+    path = scratch(spark, "paths") + "/list"
+    files.write_path_list(table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 4 == 0, " ").otherwise(F.col("url")).alias("url")), "url", path)
+    return files.path_list(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id % 50 AS exam_id, floor(arg_max(list_sum(embedding::DOUBLE[]), (vec_id % 18) * 1000000 + vec_id) * 1e6 + 0.5) / 1e6 AS total FROM embeddings GROUP BY 1")
+def q129_exams(spark, sf_dir):
+    """Exams in parts: of equal ids that of the last part, then the last index."""
+    parts = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 18).alias("part"), F.col("vec_id").alias("idx"), (F.col("vec_id") % 50).alias("exam_id"), F.col("embedding").cast("array<double>").alias("tracing"))
+    return files.exams(parts).select("exam_id", r6(F.aggregate("tracing", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("SELECT user_id, event_type, 'empty' AS reason FROM events GROUP BY 1, 2 HAVING user_id % 10 = 0")
+def q130_segment_sink(spark, sf_dir):
+    """Segments written and read back: those that came back empty."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.collect_list("value").alias("v"))
+    segments = rows.select("user_id", "event_type", F.when(F.col("user_id") % 10 == 0, F.slice("v", 1, 0)).otherwise(F.col("v")).alias("signal"))
+    return files.write_segments(segments, scratch(spark, "segments") + "/all", ["user_id", "event_type"])
+
+
+@query("SELECT corpus, count(*) AS n, sum(row_idx)::BIGINT AS ids FROM (SELECT 'ecg-instruct-45k-250-1250' AS corpus, event_id AS row_idx FROM events WHERE event_id < 63062 UNION ALL SELECT 'other', event_id FROM events WHERE event_id < 400000 UNION ALL SELECT 'test', event_id FROM events WHERE event_id < 20000) GROUP BY 1")
+def q131_hub_splits(spark, sf_dir):
+    """Splits of an exported corpus: a prefix in file order."""
+    path = scratch(spark, "hub") + "/rows"
+    table(spark, sf_dir, "events").select(F.col("event_id").alias("row_idx")).write.parquet(path)
+    out = None
+    for name, corpus, split in (("ecg-instruct-45k-250-1250",) * 2 + ("train",), ("other", "other", "train"), ("test", "other", "test")):
+        one = files.hub_split(spark, path, corpus, split).agg(F.lit(name).alias("corpus"), F.count(F.lit(1)).alias("n"), F.sum("row_idx").alias("ids"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT page_id, row_number() OVER (ORDER BY k1, url, page_id) - 1 AS pos FROM (SELECT page_id, url, coalesce(try_cast(regexp_extract(url, '(\\d+)', 1) AS BIGINT), -1) AS k1 FROM pages)")
+def q133_ranked(spark, sf_dir):
+    """Pages in the order of the number in their URL, then the URL."""
+    number = F.coalesce(F.regexp_extract("url", r"(\d+)", 1).try_cast("long"), F.lit(-1))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", number.alias("k1"))
+    return etl.ranked(rows, ["k1", "url", "page_id"], scratch(spark, "ranked") + "/pages").select("page_id", "pos")

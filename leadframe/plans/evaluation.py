@@ -162,8 +162,9 @@ e AS (SELECT conv_id, turn, n, CASE WHEN x = 0 THEN 0.0 ELSE 2 * ((x / h) * (x /
 @query(f"WITH {ROUGE} SELECT n, {R6.format('avg(f)')} AS rouge FROM e GROUP BY 1")
 def q68_rouge_n(spark, sf_dir):
     """F of sets of n-grams over the words of all sentences, n = 1 and 2."""
-    each = [F.struct(F.lit(n).alias("n"), metrics.rouge_n(F.col("ref"), F.col("hyp"), n).alias("f")) for n in (1, 2)]
-    return pairs(spark, sf_dir).select(F.explode(F.array(*each)).alias("e")).groupBy("e.n").agg(r6(F.avg("e.f")).alias("rouge"))
+    each = [F.struct(F.lit(n).alias("n"), metrics.rouge_n(F.col("r"), F.col("h"), n).alias("f")) for n in (1, 2)]
+    said = pairs(spark, sf_dir).select(metrics.sentence_words(F.col("ref")).alias("r"), metrics.sentence_words(F.col("hyp")).alias("h"))
+    return said.select(F.explode(F.array(*each)).alias("e")).groupBy("e.n").agg(r6(F.avg("e.f")).alias("rouge"))
 
 
 @query()

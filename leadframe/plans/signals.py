@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from leadframe.functions import hash32, kernels, r6
-from leadframe.operators import signal
+from leadframe.operators import schedule, signal
 from leadframe.session import table
 
 from .registry import query
@@ -186,13 +186,19 @@ def q34_early_stop(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("epoch"), F.coalesce(F.col("value") > best + F.lit(0.1), F.lit(False)).alias("stop"))
 
 
-@query("""WITH s AS (SELECT unnest([0, 1, 250, 500, 2000, 10000]) AS step)
-SELECT step::BIGINT AS step, floor(greatest(1e-4 * sqrt(500.0) * least(1 / sqrt(greatest(step, 1)::DOUBLE), greatest(step, 1) * pow(500.0, -1.5)), 1e-8) * 1e12 + 0.5) / 1e12 AS lr FROM s""")
+LR = "floor(greatest({peak} * {rise}, 1e-8) * 1e12 + 0.5) / 1e12"
+RISE = "sqrt(500.0) * least(1 / sqrt(greatest(step, 1)::DOUBLE), greatest(step, 1) * pow(500.0, -1.5))"
+
+
+@query(f"""SELECT step::BIGINT AS step, {LR.format(peak='1e-4', rise=RISE)} AS lr, {LR.format(peak='1e-4 * 4.0', rise=RISE)} AS scaled, {LR.format(peak='1e-4', rise='1 / sqrt(greatest(step, 1)::DOUBLE)')} AS no_warmup,
+ 0.01::DOUBLE AS decay, 0.01 / 2::DOUBLE AS inv_sqrt, 0.01 / 4::DOUBLE AS inv FROM range(0, 12001) r(step)""")
 def q53_learning_rate(spark, sf_dir):
-    """Warm-up, then inverse square root; peak 1e-4, 500 steps."""
-    s = F.greatest(F.col("step"), F.lit(1)).cast("double")
-    lr = F.greatest(F.lit(1e-4) * F.sqrt(F.lit(500.0)) * F.least(1 / F.sqrt(s), s * F.pow(F.lit(500.0), F.lit(-1.5))), F.lit(1e-8))
-    return spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 1, 250, 500, 2000, 10000)])).alias("step")).select("step", (F.floor(lr * 1e12 + 0.5) / 1e12).alias("lr"))
+    """Twelve thousand steps: warm-up of 500 and then inverse square root, peak 1e-4; a batch four times the reference; no warm-up; and weight decay by batch."""
+    scale = schedule.batch_scale(256, 64)
+    rounded = lambda c: F.floor(c * 1e12 + 0.5) / 1e12
+    rates = [schedule.learning_rate(F.col("step"), 1e-4, w, k) for w, k in ((500, 1.0), (500, scale), (0, 1.0))]
+    decay = [F.lit(schedule.weight_decay(0.01, scale, mode)).alias(name) for mode, name in (("none", "decay"), ("inv_sqrt", "inv_sqrt"), ("inv", "inv"))]
+    return spark.range(12_001).withColumnRenamed("id", "step").select("step", *[rounded(c).alias(n) for c, n in zip(rates, ("lr", "scaled", "no_warmup"), strict=True)], *decay)
 
 
 def _draw(seed: int, key: str) -> str:
@@ -255,3 +261,14 @@ def q105_captions(spark, sf_dir):
 @query("SELECT event_id, (value::REAL)::DOUBLE AS value FROM events")
 def q106_single_precision(spark, sf_dir):
     return signal.single(table(spark, sf_dir, "events")).select("event_id", F.col("value").cast("double").alias("value"))
+
+
+@query(f"""WITH {PLACED}, w AS (SELECT *, idx // 4 AS patch FROM p WHERE idx < n // 4 * 4), m AS (SELECT user_id, event_type, patch, avg(value) AS m, var_samp(value) AS v, (patch % 3 > 0)::INT AS removed FROM w GROUP BY 1, 2, 3),
+e AS (SELECT user_id, event_type, patch, removed, avg((value - sqrt(2)) * (value - sqrt(2))) AS plain, avg((sqrt(2) - (value - m) / sqrt(v + 1e-6)) ** 2) AS scaled FROM w JOIN m USING (user_id, event_type, patch) GROUP BY 1, 2, 3, 4)
+SELECT user_id, {R6.format('sum(plain * removed) / nullif(sum(removed), 0)')} AS plain, {R6.format('sum(scaled * removed) / nullif(sum(removed), 0)')} AS standardised FROM e GROUP BY 1""")
+def q134_masked_loss(spark, sf_dir):
+    """A record's loss over its removed patches of four samples where all predictions are the root of 2, as it is and with standardised targets."""
+    whole = signal.segments(table(spark, sf_dir, "events"), LEAD, ORDER, 4)
+    rows = signal.patches(whole, 4, "lead_time", "user_id", "event_type").select(*LEAD, "values", F.transform("values", lambda x: F.sqrt(F.lit(2.0))).alias("predicted"), (F.col("patch") % 3 > 0).cast("int").alias("removed"))
+    plain, scaled = (signal.masked_loss(rows, ["user_id"], "values", "predicted", "removed", s).withColumnRenamed("loss", n) for s, n in ((False, "a"), (True, "b")))
+    return plain.join(scaled, "user_id").select("user_id", r6(F.col("a")).alias("plain"), r6(F.col("b")).alias("standardised"))

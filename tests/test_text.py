@@ -166,9 +166,10 @@ def test_rouge(spark, ref, hyp, words, rouge_l):
 
 
 def test_rouge_counts_sets(spark):
-    f = one(spark, metrics.rouge_n(F.lit("a b. b c"), F.lit("a b b"), 2))  # {ab, bb, bc} and {ab, bb}
+    words = lambda t: metrics.sentence_words(F.lit(t))
+    f = one(spark, metrics.rouge_n(F.col("r"), F.col("h"), 2), r=words("a b. b c"), h=words("a b b"))  # {ab, bb, bc} and {ab, bb}
     assert f == pytest.approx(2 * (1 * 2 / 3) / (1 + 2 / 3 + 1e-8))
-    assert one(spark, metrics.rouge_n(F.lit("a"), F.lit("b"), 1)) == 0
+    assert one(spark, metrics.rouge_n(F.col("r"), F.col("h"), 1), r=words("a"), h=words("b")) == 0
 
 
 def test_report(spark):
