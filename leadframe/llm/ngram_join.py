@@ -15,7 +15,7 @@ compared with all documents that share a prefix shingle with them, in blocks of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -416,24 +416,23 @@ def _linked_large(members: DataFrame, first: DataFrame, num: int, den: int) -> D
     return components(edges.union(_linked_across(left, right, max(1, volume * 4 // BLOCK_ITEMS), num, den)))
 
 
-def linked_sets(sets: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+def linked_sets(sets_of: Callable[[DataFrame], DataFrame], first: DataFrame, num: int, den: int) -> DataFrame:
     """doc_id, component (the smallest doc_id that links reach) of sets that have a partner at all, and perhaps of others.
 
-    sets: doc_id, n_shingles, items (stored; ascending in one order for all). first: doc_id, item; linked sets share an item.
+    first: doc_id, item; linked sets share an item. sets_of: of a stored table of doc_ids, the sets to compare (doc_id,
+    n_shingles, items, ascending in one order for all).
     """
     first = stored(first, "first")
     least = first.groupBy("item").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     loose = components(joined(first, least, ["item"], first.count()).select(F.col("doc_id").alias("u"), "v").distinct())
-    loose = loose.select(F.col("node").alias("doc_id"), F.col("component").alias("loose"))
-    measured = sets.select("doc_id", F.size("items").alias("k")).join(loose, "doc_id")
-    extent = measured.groupBy("loose").agg(F.count(F.lit(1)).alias("docs"), F.sum("k").alias("items_in"))
-    loose = stored(measured.select("doc_id", "loose").distinct().join(extent, "loose"), "loose")
-    total = loose.select("loose", "items_in").distinct().agg(F.sum("items_in")).first()[0] or 0
+    loose = stored(loose.select(F.col("node").alias("doc_id"), F.col("component").alias("loose")).distinct(), "nodes")
+    members = stored(sets_of(loose.select("doc_id")).select("doc_id", "n_shingles", "items").join(loose, "doc_id"), "members")
+    extent = members.groupBy("loose").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("items")).alias("items_in"))
+    extent = stored(extent, "extent")
+    total = extent.agg(F.sum("items_in")).first()[0] or 0
     fits = (F.col("docs") <= BLOCK_DOCS) & (F.col("items_in") <= BLOCK_ITEMS)
-    members = sets.select("doc_id", "n_shingles", "items").join(loose, "doc_id")
-    large = loose.where(~fits).limit(1).count()
-    if large:
-        members = stored(members, "members")
+    large = extent.where(~fits).limit(1).count()
+    members = members.join(extent, "loose")
     bins = max(1, int(np.ceil(total / (BLOCK_ITEMS / 8))))
     linked = _linked_within(members.where(fits).withColumn("bin", F.pmod(F.xxhash64("loose"), F.lit(bins))), num, den)
     if large:
@@ -457,7 +456,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     copies = stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "copies")  # of equal sets only the smallest doc_id is compared
     prefix = F.size("items") - F.ceil(F.col("n_shingles") * num / den) + 1
     first = alive.select("doc_id", F.slice("items", F.lit(1), prefix.cast("int")).alias("items")).join(copies, "doc_id", "left_anti")
-    labels = linked_sets(alive, first.select("doc_id", F.explode("items").alias("item")), num, den)
+    labels = linked_sets(lambda nodes: alive.join(nodes, "doc_id", "left_semi"), first.select("doc_id", F.explode("items").alias("item")), num, den)
     follow = copies.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct()
     return sets.join(labels.union(follow), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

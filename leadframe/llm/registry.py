@@ -31,7 +31,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.with_edits(_table(spark, sf_dir, "documents"))
+    return spotsigs.with_edits_and_classes(_table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
