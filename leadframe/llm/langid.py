@@ -87,27 +87,38 @@ class Pieces:
         return out
 
 
-def forward(lattice: list[np.ndarray], probs: np.ndarray) -> np.ndarray:
-    """[word, position, language]: the summed probability of all segmentations of each prefix. probs[0] counts for single characters only.
+Cut = tuple[int, int, np.ndarray, np.ndarray]
 
-    Pieces of two characters and more cover few of the substrings, so only those that are pieces are summed.
-    """
-    n, length = lattice[0].shape
-    alpha = np.zeros((length + 1, n, probs.shape[1]))
-    alpha[0] = 1
-    ends: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+
+def cuts(lattice: list[np.ndarray]) -> list[Cut]:
+    """(start, end, words, pieces) of the pieces of two characters and more, which cover few of the substrings. Words are in order, each once."""
+    out = []
     for k in range(2, len(lattice) + 1):
         ids = lattice[k - 1].T
         starts, rows = np.nonzero(ids)
         found, bounds = ids[starts, rows], np.searchsorted(starts, np.arange(ids.shape[0] + 1))
-        for start, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if a < b:
-                ends[start + k].append((start, rows[a:b], found[a:b]))
+        out += [(start, start + k, rows[a:b], found[a:b]) for start, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+    return out
+
+
+def _by(cut: list[Cut], side: int, length: int) -> list[list[Cut]]:
+    out: list[list[Cut]] = [[] for _ in range(length + 1)]
+    for c in cut:
+        out[c[side]].append(c)
+    return out
+
+
+def forward(lattice: list[np.ndarray], probs: np.ndarray, cut: list[Cut] | None = None) -> np.ndarray:
+    """[position, word, language]: the summed probability of all segmentations of each prefix. probs[0] counts for single characters only."""
+    n, length = lattice[0].shape
+    alpha = np.zeros((length + 1, n, probs.shape[1]))
+    alpha[0] = 1
+    ends = _by(cuts(lattice) if cut is None else cut, 1, length)
     for i in range(1, length + 1):
         alpha[i] = alpha[i - 1] * probs[lattice[0][:, i - 1]]
-        for start, rows, found in ends[i]:
+        for start, _, rows, found in ends[i]:
             alpha[i, rows] += alpha[start, rows] * probs[found]
-    return alpha.transpose(1, 0, 2)
+    return alpha
 
 
 def long_score(pieces: Pieces, word: str, probs: np.ndarray) -> np.ndarray:
@@ -154,25 +165,28 @@ class Model:
 
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = 4) -> Model:
         """Expectation maximisation. counts [word, language]."""
+        groups = list(by_length(words))
         for _ in range(rounds):
             got = np.zeros_like(self.probs)
-            longer = self.probs.copy()
-            longer[0] = 0
-            for group in by_length(words):
+            for group in groups:
                 lattice = self.pieces.lattice([words[i] for i in group])
-                alpha = forward(lattice, self.probs)
-                length = lattice[0].shape[1]
+                cut, length = cuts(lattice), lattice[0].shape[1]
+                alpha, starts = forward(lattice, self.probs, cut), _by(cut, 0, length)
                 beta = np.zeros_like(alpha)
-                beta[:, length] = counts[group] / np.maximum(alpha[:, length], 1e-300)
+                beta[length] = counts[group] / np.maximum(alpha[length], 1e-300)
+                ids, flows = [], []
                 for i in range(length - 1, -1, -1):
-                    for k in range(1, min(length - i, len(lattice)) + 1):
-                        ids = lattice[k - 1][:, i]
-                        p = (self.probs if k == 1 else longer)[ids]
-                        flow = p * beta[:, i + k]
-                        beta[:, i] += flow
-                        flow = flow * alpha[:, i]
-                        for lang in range(flow.shape[1]):
-                            got[:, lang] += np.bincount(ids, flow[:, lang], self.pieces.size)
+                    single = lattice[0][:, i]
+                    flow = self.probs[single] * beta[i + 1]
+                    beta[i] = flow
+                    ids.append(single), flows.append(flow * alpha[i])
+                    for _, end, rows, found in starts[i]:
+                        flow = self.probs[found] * beta[end, rows]
+                        beta[i, rows] += flow
+                        ids.append(found), flows.append(flow * alpha[i, rows])
+                at, flow = np.concatenate(ids), np.concatenate(flows)
+                for lang in range(flow.shape[1]):
+                    got[:, lang] += np.bincount(at, flow[:, lang], self.pieces.size)
             self.probs = (got + FLOOR * got.sum(0)) / ((got + FLOOR * got.sum(0)).sum(0))
         return self
 
@@ -185,7 +199,7 @@ class Model:
                     out[i] = long_score(self.pieces, words[i], self.probs)
             else:
                 lattice = self.pieces.lattice([words[i] for i in group])
-                out[group] = np.log(forward(lattice, self.probs)[:, -1])
+                out[group] = np.log(forward(lattice, self.probs)[-1])
         return out
 
 
@@ -264,7 +278,7 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
 class Judge:
     """Languages of texts in a worker, with a cache of word likelihoods: a table, and each known word's row in it."""
 
-    def __init__(self, languages: list[str], names: list[str], probs: np.ndarray, levels: np.ndarray, most: int = 500_000):
+    def __init__(self, languages: list[str], names: list[str], probs: np.ndarray, levels: np.ndarray, most: int = 200_000):
         self.languages, self.levels, self.model, self.most = languages, levels, Model(languages, names, probs.astype("f8")), most
         self._clear()
 

@@ -63,7 +63,7 @@ class ByteBpe:
             self.bytes_of[i] = bytes(back[c] for c in text)
         self.n_bytes = np.array([len(x) for x in self.bytes_of])
         self.decimal = [str(i).encode() for i in range(len(self.bytes_of))]
-        self.cache = WordCache(self._encode, most=600_000)
+        self.cache = WordCache(self._encode, most=300_000)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Of each piece its ids as little-endian 32-bit numbers.

@@ -151,7 +151,7 @@ def test_long_runs_are_scored_whole(monkeypatch):
     draw = np.random.default_rng(2)
     for n in (1, 5, 33, 200):
         word = "".join(draw.choice(list("abc"), n))
-        want = np.log(langid.forward(model.pieces.lattice([word]), probs)[0, -1])
+        want = np.log(langid.forward(model.pieces.lattice([word]), probs)[-1, 0])
         for stretch in (1 << 14, 7, 13):
             monkeypatch.setattr(langid, "STRETCH", stretch)
             assert np.allclose(langid.long_score(model.pieces, word, probs), want)
