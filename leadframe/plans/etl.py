@@ -215,13 +215,13 @@ def q110_dev_then_toy(spark, sf_dir):
     return etl.catalogue_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", dev=1000, toy=True)
 
 
-@query("""WITH p AS (SELECT page_id, split_part(url, '?', 1) AS path, split_part(string_split(split_part(url, '?', 1), '/')[-1], '.', 1) AS name FROM pages), c AS (SELECT name, max(path) AS path FROM p WHERE page_id % 3 > 0 GROUP BY 1)
+@query("""WITH p AS (SELECT page_id, split_part(url, '?', 1) AS path, split_part(string_split(split_part(url, '?', 1), '/')[-1], '.', 1) AS name FROM pages), c AS (SELECT name, max(path) AS path FROM p WHERE path LIKE 'https:%' GROUP BY 1)
 SELECT page_id, replace(c.path, '/', '_') AS key FROM p LEFT JOIN c USING (name)""")
 def q111_catalogued_keys(spark, sf_dir):
-    """Items that name a file alone, looked up in a catalogue that has two thirds of the pages."""
+    """Items that name a file alone, looked up in a catalogue of the pages with https."""
     path = F.substring_index("url", "?", 1)
     rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.substring_index(F.substring_index(path, "/", -1), ".", 1).alias("name"))
-    found, unknown = etl.catalogued_keys(rows.select("page_id", "name"), "name", rows.where("page_id % 3 > 0").select("name", "path"))
+    found, unknown = etl.catalogued_keys(rows.select("page_id", "name"), "name", rows.where("path LIKE 'https:%'").select("name", "path"))
     return found.select("page_id", "key").union(unknown.select("page_id", F.lit(None).cast("string")))
 
 
@@ -259,11 +259,11 @@ def q126_json_round_trip(spark, sf_dir):
     return files.json_lines(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "lang")
 
 
-@query("SELECT url AS path, count(*) AS n FROM pages WHERE page_id % 4 > 0 GROUP BY 1")
+@query("SELECT url AS path, count(*) AS n FROM pages WHERE contains(url, '?') GROUP BY 1")
 def q127_path_list(spark, sf_dir):
-    """A list of paths written as text, blank lines and all, and read back."""
+    """A list of paths written as text, blanks for those without a question mark, and read back without them."""
     path = scratch(spark, "paths") + "/list"
-    files.write_path_list(table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 4 == 0, " ").otherwise(F.col("url")).alias("url")), "url", path)
+    files.write_path_list(table(spark, sf_dir, "pages").select(F.when(F.contains("url", F.lit("?")), F.col("url")).otherwise(" ").alias("url")), "url", path)
     return files.path_list(spark, path).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -236,15 +236,15 @@ def q103_perturbation_order(spark, sf_dir):
     return ways[0].join(ways[1], "event_id")
 
 
-@query(f"""WITH {PLACED}, w AS (SELECT * FROM p WHERE idx < 3), l AS (SELECT user_id FROM w GROUP BY 1 HAVING count(*) = 15), x AS (SELECT w.* FROM w JOIN l USING (user_id))
+@query(f"""WITH {PLACED}, w AS (SELECT *, min(n) OVER (PARTITION BY user_id) // 3 * 3 AS whole FROM p), x AS (SELECT * FROM w WHERE idx < whole)
 SELECT user_id, 'time' AS layout, (idx // 3)::VARCHAR AS patch, md5(string_agg(event_id::VARCHAR, ',' ORDER BY idx, event_type)) AS digest FROM x GROUP BY user_id, idx // 3
 UNION ALL SELECT user_id, 'leads', event_type, md5(string_agg(event_id::VARCHAR, ',' ORDER BY idx)) FROM x GROUP BY user_id, event_type
 UNION ALL SELECT user_id, 'lead_time', event_type || ':' || (idx // 3), md5(string_agg(event_id::VARCHAR, ',' ORDER BY idx)) FROM x GROUP BY user_id, event_type, idx // 3""")
 def q104_patches(spark, sf_dir):
-    """The three patch layouts over the first three samples of five leads; the ids of the samples in each patch."""
-    placed = signal.with_position(table(spark, sf_dir, "events").select("event_id", *LEAD, "ts"), LEAD, ORDER).where("idx < 3")
-    whole = placed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n = 15").select("user_id")
-    rows = placed.join(whole, "user_id")
+    """The three patch layouts over the whole patches of three samples that all leads of a record have; the ids of the samples in each patch."""
+    placed = signal.with_position(table(spark, sf_dir, "events").select("event_id", *LEAD, "ts"), LEAD, ORDER)
+    whole = placed.groupBy(*LEAD).agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg((F.floor(F.min("n") / 3) * 3).alias("whole"))
+    rows = placed.join(whole, "user_id").where("idx < whole")
     digest = F.md5(F.array_join(F.col("values").cast("array<string>"), ",").cast("binary"))
     out = None
     for layout, patch in (("time", F.col("patch").cast("string")), ("leads", F.col("patch")), ("lead_time", F.concat_ws(":", "event_type", F.col("patch").cast("string")))):
