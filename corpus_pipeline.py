@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadframe.llm import exact_dedup, langid, ngram_join, packing, toxicity
-from leadframe.llm.common import fresh_path, run_folder, stored
+from leadframe.llm.common import fresh_path, removed, run_folder, stored
 
 #: The languages to keep; None: all that the labels of the documents name.
 LANGUAGES: tuple[str, ...] | None = None
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
         with run_folder(spark, name):
             docs = stored(stage(spark, docs, sf_dir), name, path)
+        if before is not None:
+            removed(spark, before)  # only the last stage's rows are read again
+        before = path
     return docs

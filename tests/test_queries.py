@@ -159,6 +159,76 @@ def test_feature_query_against_plain_loops(spark):
         assert np.allclose(got[16:22], [np.abs(a).mean(), *energies[::-1]])
 
 
+def test_summary_rouge_query_against_plain_loops(spark):
+    """Every pair's score from sets and a table of the longest common subsequence filled cell by cell."""
+    from leadframe.plans import evaluation
+
+    def sentences(t):
+        return [" ".join(x.split()).split(" ") for x in t.split(".") if x]
+
+    def reached(a, b):
+        best = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                best[i, j] = 0 if not i or not j else best[i - 1, j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1, j], best[i, j - 1])
+        i, j, out = len(a), len(b), set()
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                out.add(a[i - 1])
+                i, j = i - 1, j - 1
+            elif best[i - 1, j] > best[i, j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    got = {(r["conv_id"], r["turn"]): r["rouge_l"] for r in registry.queries()["q69_rouge_l"](spark, SF).collect()}
+    rows = evaluation.pairs(spark, SF).collect()
+    assert len(rows) == len(got) > 20
+    for r in rows:
+        ref, hyp = sentences(r["ref"]), sentences(r["hyp"])
+        found = set().union(*(reached(x, y) for x in ref for y in hyp))
+        p, q = len(found) / len({w for x in hyp for w in x}), len(found) / len({w for x in ref for w in x})
+        assert got[r["conv_id"], r["turn"]] == pytest.approx(2 * p * q / (p + q + 1e-8), abs=1e-6)
+
+
+def test_svcca_query_against_whole_matrices(spark):
+    e = np.array([r["embedding"] for r in table(spark, SF, "embeddings").collect()], "f8")
+    views = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (e[:, :32], e[:, 32:])]
+    bases = [np.linalg.svd((v - v.mean(0)) / (v.std(0, ddof=1) + 1e-8), full_matrices=False)[0][:, :10] for v in views]
+    want = np.linalg.svd(bases[0].T @ bases[1], compute_uv=False).mean()
+    assert registry.queries()["q88_svcca"](spark, SF).first()[0] == pytest.approx(want, abs=1e-6)
+
+
+def test_skip_gram_vectors_descend_the_stated_loss(spark):
+    """The query's vectors against the same descent on gradients taken by differences."""
+    from leadframe.operators import vectors
+
+    pairs = spark.createDataFrame([("a", "b", 5), ("b", "a", 4), ("b", "c", 1), ("c", "a", 2)], "center string, context string, n long")
+    names, got, losses = vectors.train(pairs, dims=2, epochs=3, rate=0.1)
+    seen = np.array([[0, 5, 0], [4, 0, 1], [2, 0, 0]]) / 12
+    noise = seen.sum(0) ** 0.75
+    against = np.outer(seen.sum(1), noise / noise.sum())
+    draw = np.random.default_rng(42)
+    x = np.concatenate([draw.uniform(-0.5, 0.5, (3, 2)) / 2, np.zeros((3, 2))])
+
+    def loss(x):
+        near = 1 / (1 + np.exp(-(x[:3] @ x[3:].T)))
+        return -(seen * np.log(near)).sum() - (against * np.log(1 - near)).sum()
+
+    m, v = np.zeros_like(x), np.zeros_like(x)
+    for epoch in range(1, 4):
+        assert losses[epoch - 1] == pytest.approx(loss(x), abs=1e-6)
+        g = np.zeros_like(x)
+        for i in np.ndindex(x.shape):
+            step = np.zeros_like(x)
+            step[i] = 1e-6
+            g[i] = (loss(x + step) - loss(x - step)) / 2e-6
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        x = x - 0.1 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+    assert names == ["a", "b", "c"] and np.allclose(got, x[:3], atol=1e-3)
+
+
 def test_wavelets_keep_energy_and_count_levels():
     x = np.random.default_rng(0).normal(size=4000)
     assert [len(kernels.wavelet_energies(x[:n])) for n in (6, 13, 14, 28, 223, 224)] == [1, 1, 2, 3, 5, 6]
