@@ -5,6 +5,8 @@ run() applies the stages in order. Each stage reads all that the one before it k
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from leadframe.llm import exact_dedup, langid, ngram_join, packing, toxicity
@@ -15,6 +17,17 @@ LANGUAGES: tuple[str, ...] | None = None
 #: A document is kept if its language is one of them and the model is at least so sure of it, against the others and against none of them.
 LEAST_SURE = 0.5
 
+#: What this job hands to Python workers at once, if its session would hand over more: rows, and bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
+
+
+def settled(spark: SparkSession) -> None:
+    """The job's settings for its session. Operators set none; a stage is run when its rows are written, so these must hold until then."""
+    for name, most in BATCH.items():
+        now = int(re.sub(r"\D*$", "", spark.conf.get(name)))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, trained on all labels, does not predict to be toxic.
@@ -22,6 +35,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts score the model's bias; each of repeated rows is judged alike; an empty table gives an empty result;
     columns that docs has besides pass through, here as in the other stages.
     """
+    settled(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
@@ -31,11 +45,13 @@ def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents that mix known languages stay. Each of repeated rows is judged alike; an empty table gives an empty result.
     """
+    settled(spark)
     return langid.in_known_language(docs, langid.train(docs), LEAST_SURE, LANGUAGES)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, rows with null and repeated ids included. Null and empty texts are one group; an empty table gives an empty result."""
+    settled(spark)
     return exact_dedup.one_of_each(docs)
 
 
@@ -45,11 +61,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Rows with null and repeated ids are linked by their texts like any others; null texts and texts without a word stay; an
     empty table gives an empty result.
     """
+    settled(spark)
     return ngram_join.one_of_each(docs, size=5, num=8, den=10)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 2048 tokens. Null and empty texts are one token, repeated rows are packed as often as they occur."""
+    settled(spark)
     return packing.pack(docs)
 
 
