@@ -75,10 +75,19 @@ def _owned(data: bytes) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, items, same_a, same_b. items: the shingles that other documents have too, in the global order; null where no other document can be similar.
+def shingler(size: int) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """Makes, in a worker, what turns texts into their sets of shingles."""
+    def make() -> Callable[[list[str]], list[np.ndarray]]:
+        cache = HashCache(word_hashes)
+        return lambda texts: [shingles(v, size) for v in cache.values([t.encode().lower().split() for t in texts])]
 
-    An item's upper bits hold the binary logarithm of its document count, the lower ones its hash. same_a and same_b, a digest of the
+    return make
+
+
+def shared_items(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[np.ndarray]]], num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles (the set's size), items, same_a, same_b. items: those that other documents have too, in the global order; null where no other document can be similar.
+
+    make gives what turns texts into sets of BITS-bit hashes, ascending. An item's upper bits hold the binary logarithm of its document count, the lower ones its hash. same_a and same_b, a digest of the
     items, are null where a document has a shingle of its own and so no equal.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -91,10 +100,9 @@ def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part = HashCache(word_hashes), TaskContext.get().partitionId()
+        sets_of, part = make(), TaskContext.get().partitionId()
         for at, batch in enumerate(small_parts(batches)):
-            cut = [t.encode().lower().split() for t in batch.column("text").to_pylist()]
-            sets = [shingles(v, size) for v in cache.values(cut)]
+            sets = sets_of(batch.column("text").to_pylist())
             sizes = np.array([len(s) for s in sets], "i4")
             flat = np.concatenate(sets) if sets else np.zeros(0, "u8")
             doc = np.repeat(np.arange(len(sets)), sizes)
@@ -440,14 +448,13 @@ def linked_sets(sets_of: Callable[[DataFrame], DataFrame], first: DataFrame, num
     return stored(linked.groupBy(F.col("node").alias("doc_id")).agg(F.min("component").alias("component")), "labels")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, the smallest doc_id that links reach.
+def similar(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[np.ndarray]]], num: int, den: int, by_length: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: what similar_groups gives, of any sets.
 
-    Two documents link when the shingles they share are num/den or more of those of either. Null texts and texts without a
-    word have no shingles and no links, texts with fewer than `size` words one shingle. Rows with a null doc_id are linked
-    with nothing and have a null component; repeated rows of one doc_id are one node. An empty table gives an empty result.
+    by_length: sets fall into partitions by size whose bounds grow by den/num, so a partner lies in a set's own partition or
+    in one beside it; only those that share an item and a partition are compared.
     """
-    sets = stored(shared_shingles(documents(docs), size, num, den), "sets")
+    sets = stored(shared_items(documents(docs), make, num, den), "sets")
     alive = sets.where("items IS NOT NULL")
     keys = ["n_shingles", "same_a", "same_b"]
     equal = alive.where("same_a IS NOT NULL").select("doc_id", *keys)
@@ -455,12 +462,30 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     copies = joined(equal, reps, keys, equal.count())
     copies = stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "copies")  # of equal sets only the smallest doc_id is compared
     prefix = F.size("items") - F.ceil(F.col("n_shingles") * num / den) + 1
-    first = alive.select("doc_id", F.slice("items", F.lit(1), prefix.cast("int")).alias("items")).join(copies, "doc_id", "left_anti")
-    labels = linked_sets(lambda nodes: alive.join(nodes, "doc_id", "left_semi"), first.select("doc_id", F.explode("items").alias("item")), num, den)
+    first = alive.select("doc_id", "n_shingles", F.slice("items", F.lit(1), prefix.cast("int")).alias("items")).join(copies, "doc_id", "left_anti")
+    if by_length:
+        bounds, longest = [1], sets.agg(F.max("n_shingles")).first()[0] or 1
+        while bounds[-1] <= longest:
+            bounds.append(max(bounds[-1] + 1, bounds[-1] * den // num + 1))
+        part = F.size(F.filter(F.array([F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("n_shingles")))
+        first = first.select("doc_id", F.explode(F.array(part, part + 1)).alias("part"), "items").select("doc_id", "part", F.explode("items").alias("s")).select("doc_id", F.xxhash64("part", "s").alias("item"))
+    else:
+        first = first.select("doc_id", F.explode("items").alias("item"))
+    labels = linked_sets(lambda nodes: alive.join(nodes, "doc_id", "left_semi"), first, num, den)
     follow = copies.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).distinct()
     return sets.join(labels.union(follow), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, the smallest doc_id that links reach.
+
+    Two documents link when the shingles they share are num/den or more of those of either. Null texts and texts without a
+    word have no shingles and no links, texts with fewer than `size` words one shingle. Rows with a null doc_id are linked
+    with nothing and have a null component; repeated rows of one doc_id are one node. An empty table gives an empty result.
+    """
+    return similar(docs, shingler(size), num, den)
+
+
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row of each group of linked texts, with all its columns: that of the smallest doc_id (a null id comes last), then the first of repeated rows.
 

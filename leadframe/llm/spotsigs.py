@@ -17,8 +17,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HashCache, documents, joined, mix64, plain_words, small_parts, stored
-from .ngram_join import linked_sets
+from .common import HashCache, documents, mix64, plain_words, small_parts
+from .ngram_join import BITS as SET_BITS
+from .ngram_join import similar
 
 #: Common words of the corpus languages.
 ANCHORS = frozenset(
@@ -94,67 +95,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, n_signatures long, signatures array<long>, fingerprint string")
 
 
-def _marks(docs: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
-    """doc_id, mark (a digest of the fingerprint), n_shingles (the set's size), items: the whole set, or what a partner must share one of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache(word_values)
-        for batch in small_parts(batches):
-            sets = signature_sets(batch.column("text").to_pylist(), cache)
-            marks = [hashlib.md5(fingerprint(s).encode()).hexdigest() for s in sets]
-            items = [(s if whole else s[: len(s) - -(-len(s) * num // den) + 1]).astype("i8") for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": pa.array(marks, pa.string()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "items": pa.array(items, pa.list_(pa.int64()))})
-
-    return docs.mapInArrow(run, "doc_id long, mark string, n_shingles long, items array<long>")
-
-
 def alike(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
-    """mark, rep, class_id, n: of each fingerprint (as the MD5 of its string) the smallest doc_id, the smallest that likenesses of num/den or more reach, and its rows.
-
-    Documents of one fingerprint, repeated rows and empty texts included, are alike and are compared once, under their
-    smallest doc_id; where rows of one id have several texts, these are one node. A fingerprint that only rows with a null
-    doc_id have is compared with none and has a null class. An empty table gives an empty result.
+    """One row per row of docs: doc_id, n_signatures, class_id: the smallest doc_id reached by likenesses of num/den or more.
 
     Sets fall into partitions by length whose bounds grow by den/num, so a partner lies in a set's own partition or in one
     beside it. Of those, sets are compared, with lengths pruning what cannot reach the likeness, that share one of their
-    first n - ceil(num n / den) + 1 signatures: signatures are hashes, so the first are a random part, and a common one is
-    among them as seldom as any other. Only these first ones travel; whole sets are taken, in a second scan, of documents
-    that share one with another.
+    first signatures in the global order, rarest first. Documents of one fingerprint are compared once. Null and empty texts
+    are alike; rows with a null doc_id are compared with none and have a null class; repeated rows of one doc_id are one
+    node; an empty table gives an empty result.
     """
-    rows = documents(docs)
-    marks = stored(_marks(rows, num, den, whole=False), "marks")
-    reps = marks.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"))
-    reps = stored(reps, "reps")
-    bounds, longest = [1], reps.agg(F.max("n_shingles")).first()[0] or 1
-    while bounds[-1] <= longest:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * den // num + 1))
-    partition = F.size(F.filter(F.array([F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("n_shingles")))
-    first = reps.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.array(partition, partition + 1)).alias("part"), "items")
-    first = first.select("doc_id", "part", F.explode("items").alias("s")).select("doc_id", F.xxhash64("part", "s").alias("item"))
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = stored(reps.select("doc_id", "mark").join(nodes, "doc_id", "left_semi"), "wanted")
-        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        ids = wanted.select("doc_id").distinct()
-        again = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        return _marks(again, num, den, whole=True).join(wanted, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
-
-    labels = linked_sets(sets_of, first, num, den)
-    return reps.select("mark", "doc_id", "n").join(labels, "doc_id", "left").select("mark", F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("class_id"), "n")
-
-
-def with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows (doc_id, fingerprint, more) with class_id. Classes of more than one row are broadcast if they are few; else rows are dealt by fingerprint, but for those that many rows have."""
-    others = stored(classes.where("n > 1 OR class_id <> rep").select("mark", "class_id", "n"), "classes")
-    marked = rows.withColumn("mark", F.md5(F.col("fingerprint").cast("binary")))
-    few = others.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
-    both = marked.join(F.broadcast(others.drop("n")), "mark", "left") if few else joined(marked, others, ["mark"], classes.agg(F.sum("n")).first()[0], "left").drop("n")
-    return both.withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("mark")
-
-
-def with_edits_and_classes(docs: DataFrame) -> DataFrame:
-    """What with_edits gives, and class_id: the smallest doc_id that likenesses of 0.8 or more reach, by `alike`."""
-    return with_classes(with_edits(docs), alike(docs))
+    def make():
+        cache = HashCache(word_values)
+        return lambda texts: [s << np.uint64(SET_BITS - BITS) for s in signature_sets(texts, cache)]
+
+    return similar(docs, make, num, den, by_length=True).select("doc_id", F.col("n_shingles").alias("n_signatures"), F.col("component_id").alias("class_id"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
