@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -37,6 +40,24 @@ ROW = "_leadframe_row"
 _folder: ContextVar[str | None] = ContextVar("leadframe_folder", default=None)
 
 
+def trim() -> None:
+    """Gives memory that is free within a worker back to the system; workers outlive their tasks, and several wait beside those that run."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that trims its worker before its first batch and after its last."""
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from run(batches)
+        trim()
+
+    return both
+
+
 def small_parts(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that none has more than PART_ROWS rows or PART_BYTES bytes in `column`, single rows excepted."""
     for batch in batches:
@@ -96,6 +117,12 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """After large tables have been stored: the executors' shuffle files go once the driver has collected the plans that made them, which a quiet driver does late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def joined(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str = "inner", count: str = "n") -> DataFrame:
     """rows joined with groups (inner, left or left_semi), a table with one row for each key of non-null columns `on`, `count` of them in rows.
 

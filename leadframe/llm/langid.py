@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_parts, stored
+from .common import documents, small_parts, stored, tidied
 
 #: Runs of up to so many letters are scored many at a time; longer ones one at a time, whole. The fit counts these in parts of this length.
 WORD_CHARS = 32
@@ -254,7 +254,7 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
             columns = list(zip(*own, strict=True)) if own else [()] * 3
             yield pa.RecordBatch.from_pydict({"lang": pa.array(columns[0], pa.string()), "word": pa.array(columns[1], pa.string()), "half": pa.array(columns[2], pa.int32()), "n": pa.array(list(own.values()), pa.int64())})
 
-    words = sample.mapInArrow(run, "lang string, word string, half int, n long").groupBy("lang", "word", "half").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(tidied(run), "lang string, word string, half int, n long").groupBy("lang", "word", "half").agg(F.sum("n").alias("n"))
     seen = words.orderBy("word", "lang", "half").toArrow()  # the words of sample_docs documents of each language
     first, model = _fitted(seen.filter(pc.equal(seen.column("half"), 0)), pieces), _fitted(seen, pieces)
     del seen
@@ -267,7 +267,7 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
         for batch in small_parts(batches):
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "letter": pa.array([best / max(1, n) for _, best, n, _ in judge.sums(batch.column("text").to_pylist())], pa.float64())})
 
-    letters = sample.where("half = 1").select("lang", "text").mapInArrow(measure, "lang string, letter double").toPandas()
+    letters = sample.where("half = 1").select("lang", "text").mapInArrow(tidied(measure), "lang string, letter double").toPandas()
     for lang, own in letters[letters["lang"].isin(first.languages)].groupby("lang")["letter"]:
         if len(own) > 1:
             mean = own.mean()
@@ -341,7 +341,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             pred, score, letters = judge.languages_of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "letters": pa.array(letters, pa.int64())})
 
-    return documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, letters long")
+    return documents(docs).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double, letters long")
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float, languages: tuple[str, ...] | None = None) -> DataFrame:
@@ -359,7 +359,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float, languages: tu
             pred, score, _ = judge.languages_of([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([p in wanted and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(modulus: int, remainder: int):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, HashCache, documents, joined, mix64, small_parts, stored, with_rows, without_rows
+from .common import ROW, HashCache, documents, joined, mix64, small_parts, stored, swept, tidied, trim, with_rows, without_rows
 from .graph import components
 
 BITS = 58
@@ -134,6 +134,7 @@ def shared_items(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
             })
 
     def answer(table: pa.Table) -> pa.Table:
+        trim()
         own = {c: table.column(c) for c in table.column_names}
         owners, times, many, data = (own[c].to_pylist() for c in ("owners", "times", "many", "data"))
         at = [i for i, x in enumerate(data) if x is not None]
@@ -175,6 +176,7 @@ def shared_items(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
         return out
 
     def gather(table: pa.Table) -> pa.Table:
+        trim()
         rows = table.to_pylist()
         info = [r for r in rows if r["ids"] is not None]
         blocks = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"])
@@ -196,7 +198,7 @@ def shared_items(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "items": pa.array(out, pa.list_(pa.int64())), "same_a": halves[0], "same_b": halves[1]})
 
     wire = "bucket int, chunk long, blocks int, owners binary, data binary, many binary, times binary, ids array<long>, sizes array<int>"
-    sent = docs.select("doc_id", "text").mapInArrow(send, wire)
+    sent = docs.select("doc_id", "text").mapInArrow(tidied(send), wire)
     return sent.groupBy("bucket").applyInArrow(answer, wire).groupBy("chunk").applyInArrow(gather, "doc_id long, n_shingles long, items array<long>, same_a long, same_b long")
 
 
@@ -315,6 +317,7 @@ def _lists(table: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
 def _linked_within(members: DataFrame, num: int, den: int) -> DataFrame:
     """node, component: members are whole loose components, many to a bin."""
     def run(table: pa.Table) -> pa.Table:
+        trim()
         ids, sizes, items = _lists(table)
         own: dict[int, list[int]] = {}
         for i, c in enumerate(table.column("loose").to_pylist()):
@@ -367,6 +370,7 @@ def _linked_across(left: DataFrame, right: DataFrame, tasks: int, num: int, den:
         return out
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        trim()
         u, v = [], []
         if a.num_rows and b.num_rows:
             others = by_block(b)
@@ -403,6 +407,7 @@ def _linked_large(members: DataFrame, first: DataFrame, num: int, den: int) -> D
     pivots = pivots.withColumn("block", F.xxhash64("loose", "s"))
     total = members.agg(F.sum(F.size("items"))).first()[0] or 0
     edges = stored(_linked_across(pivots, salted.withColumn("block", F.xxhash64("loose", part)), max(1, total * 4 // BLOCK_ITEMS), num, den), "large-edges")
+    swept(members.sparkSession)
     found = components(edges)
     clustered = members.select("loose", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("loose", "doc_id", F.coalesce("component", "doc_id").alias("cluster"))
     clustered = stored(clustered, "clusters")
@@ -421,7 +426,7 @@ def _linked_large(members: DataFrame, first: DataFrame, num: int, den: int) -> D
     met = joined(seen, extent, ["item"], rows)
     left = met.where("outside").select("doc_id", "item", own("blocks").alias("b"), every("salts").alias("s")).select("doc_id", key).join(sets, "doc_id")
     right = met.select("doc_id", "item", every("blocks").alias("b"), own("salts").alias("s")).select("doc_id", key).join(sets, "doc_id")
-    return components(edges.union(_linked_across(left, right, max(1, volume * 4 // BLOCK_ITEMS), num, den)))
+    return components(edges.union(stored(_linked_across(left, right, max(1, volume * 4 // BLOCK_ITEMS), num, den), "large-edges")))
 
 
 def linked_sets(sets_of: Callable[[DataFrame], DataFrame], first: DataFrame, num: int, den: int) -> DataFrame:
@@ -455,6 +460,7 @@ def similar(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[np.nd
     in one beside it; only those that share an item and a partition are compared.
     """
     sets = stored(shared_items(documents(docs), make, num, den), "sets")
+    swept(docs.sparkSession)
     alive = sets.where("items IS NOT NULL")
     keys = ["n_shingles", "same_a", "same_b"]
     equal = alive.where("same_a IS NOT NULL").select("doc_id", *keys)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, small_parts, stored, with_slots
+from .common import WordCache, documents, small_parts, stored, tidied, with_slots
 
 CAPACITY = 2048
 GRAIN = 16
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), columns, strict=True)})
 
-    return documents(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return documents(docs).mapInArrow(tidied(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, documents, mix64, plain_words, small_parts
+from .common import HashCache, documents, mix64, plain_words, small_parts, tidied
 from .ngram_join import BITS as SET_BITS
 from .ngram_join import similar
 
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             sets = signature_sets(batch.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_signatures": pa.array([len(s) for s in sets], pa.int64()), "signatures": pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64())), "fingerprint": pa.array([fingerprint(s) for s in sets], pa.string())})
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_signatures long, signatures array<long>, fingerprint string")
+    return documents(docs).mapInArrow(tidied(run), "doc_id long, n_signatures long, signatures array<long>, fingerprint string")
 
 
 def alike(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
@@ -168,6 +168,6 @@ def with_edits(docs: DataFrame) -> DataFrame:
                 "near_edited": pa.array([likeness(p[2], c) for p, c in zip(pairs, changed, strict=True)], pa.float64()), "near_next": pa.array([likeness(p[2], p[4]) for p in pairs], pa.float64()),
             })
 
-    sent = rows.mapInArrow(send, "range int, ahead boolean, key long, doc_id long, data binary")
+    sent = rows.mapInArrow(tidied(send), "range int, ahead boolean, key long, doc_id long, data binary")
     dealt = sent.repartition(max(12, len(bounds) + 1), "range").sortWithinPartitions("range", "ahead", "key", "data")
-    return dealt.mapInArrow(receive, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidied(receive), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, removed, small_parts, stored
+from .common import documents, fresh_path, removed, small_parts, stored, tidied
 from .tokens import byte_bpe, default_path, default_pattern
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -37,7 +37,7 @@ def counted(docs: DataFrame, tokenizer: str, path: str | None = None, pattern: s
             n = [len(x) for x in bpe.ids(texts)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "source": batch.column("source"), "lang": batch.column("lang"), "tokenizer": pa.array([tokenizer] * len(n), pa.string()), "n_tokens": pa.array(n, pa.int64()), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64())})
 
-    return documents(docs, "source", "lang").mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_bytes long")
+    return documents(docs, "source", "lang").mapInArrow(tidied(run), "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_bytes long")
 
 
 def estimated(docs: DataFrame, tokenizer: str, bytes_per_token: int = 4) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordCache, documents, small_parts
+from .common import WordCache, documents, small_parts, tidied
 
 #: Unicode white space outside ASCII: next to these a cut may lie within a match, so such texts are encoded in one piece.
 _EXOTIC = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -141,7 +141,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 columns |= {n: pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k, n in enumerate(("starts", "ends"))}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
+    return documents(docs).mapInArrow(tidied(run), "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -154,7 +154,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
             data = [bpe.decode_bytes(np.asarray(x or [], "i8")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "data": pa.array(data, pa.binary()), "text": [x.decode("utf-8", "replace") for x in data]})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, data binary, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -174,4 +174,4 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str |
                 rows.append((len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(bpe.decode_bytes(ids)).hexdigest()))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array([r[0] for r in rows], pa.int64()), "ids_sha256": pa.array([r[1] for r in rows], pa.string()), "decoded_sha256": pa.array([r[2] for r in rows], pa.string())})
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, documents, mix64, plain_words, small_parts
+from .common import HashCache, documents, mix64, plain_words, small_parts, tidied
 from .langid import held_out
 
 BITS = 20
@@ -91,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             rows = [np.unique(features(v)).astype("<u4").tobytes() for v in cache.values(cut)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "at": pa.array(rows, pa.binary())})
 
-    got = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, at binary").toArrow()  # the sample is bounded
+    got = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(tidied(run), "doc_id long, toxic int, at binary").toArrow()  # the sample is bounded
     got = got.sort_by("doc_id")
     rows = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("at")]
     if not rows:
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
             p = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= threshold).astype("i4"))})
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return documents(docs).mapInArrow(tidied(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
@@ -151,7 +151,7 @@ def without_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
         for batch in small_parts(batches):
             yield batch.filter(pa.array(scorer.scores([t or "" for t in batch.column("text").to_pylist()]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def predict_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

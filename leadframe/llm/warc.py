@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh_path, joined, small_parts, stored
+from .common import BROADCAST_ROWS, fresh_path, joined, small_parts, stored, tidied
 
 BLOCK_LINES = 256
 #: Bytes of archives that one task reads back.
@@ -167,7 +167,7 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0) -> DataFra
             if out is not None:
                 out.close()
 
-    return stored(ready.mapInArrow(write, "key string, page_id long, path string, at long, size long"), "captures")
+    return stored(ready.mapInArrow(tidied(write), "key string, page_id long, path string, at long, size long"), "captures")
 
 
 def write_index(lines: DataFrame, root: str, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -204,7 +204,7 @@ def write_index(lines: DataFrame, root: str, block_lines: int = BLOCK_LINES) ->
                 out.close()
 
     ranged = lines.repartitionByRange("key", "page_id", "at").sortWithinPartitions("key", "page_id", "at")
-    return stored(ranged.mapInArrow(write, "first string, last string, path string, at long, size long, lines long"), "directory")
+    return stored(ranged.mapInArrow(tidied(write), "first string, last string, path string, at long, size long, lines long"), "directory")
 
 
 def read_block(path: str, at: int, size: int) -> list[list]:
@@ -282,12 +282,12 @@ def lookup_all(directory: DataFrame, keys: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), columns, kinds, strict=True)})
 
-    dealt = keys.select("key").distinct().mapInArrow(deal, "key string, file string")
+    dealt = keys.select("key").distinct().mapInArrow(tidied(deal), "key string, file string")
     blocks = directory.select(F.col("path").alias("file"), "first", "last", "path", "at", "size")
     found = stored(dealt.groupBy("file").cogroup(blocks.groupBy("file")).applyInArrow(search, "path string, at long, size long"), "found")
     tasks = max(spark.sparkContext.defaultParallelism, (found.agg(F.sum("size")).first()[0] or 0) // STRETCH_BYTES)
     stretch = F.floor(F.col("at") / STRETCH_BYTES)  # not whole archives: one may be large
-    return found.repartition(tasks, "path", stretch).sortWithinPartitions("path", "at").mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return found.repartition(tasks, "path", stretch).sortWithinPartitions("path", "at").mapInArrow(tidied(records), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
