@@ -83,15 +83,16 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def run_folder(spark: SparkSession, label: str) -> Iterator[None]:
-    """Intermediate tables made within share one folder, which goes at the end: what is to stay must have been written elsewhere."""
+def run_folder(spark: SparkSession, label: str, keep: bool = False) -> Iterator[str]:
+    """Intermediate tables made within share one folder, whose path it gives. It goes at the end, so what is to stay must have been written elsewhere; with keep it stays."""
     path = fresh_path(spark, label)
     token = _folder.set(path)
     try:
-        yield
+        yield path
     finally:
         _folder.reset(token)
-        removed(spark, path)
+        if not keep:
+            removed(spark, path)
 
 
 @contextmanager
