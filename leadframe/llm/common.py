@@ -175,7 +175,7 @@ class WordCache:
     words have all been looked up. When the bound is reached the half that came first stays: frequent words come early.
     """
 
-    def __init__(self, make: Callable[[list], Iterable], most: int = 200_000, mean_len: int = 20):
+    def __init__(self, make: Callable[[list], Iterable], most: int = 120_000, mean_len: int = 20):
         self.make, self.most, self.mean_len = make, most, mean_len
         self._keep([])
 

@@ -278,7 +278,7 @@ def train(labelled: DataFrame, path: str | None = None, sample_docs: int = SAMPL
 class Judge:
     """Languages of texts in a worker, with a cache of word likelihoods: a table, and each known word's row in it."""
 
-    def __init__(self, languages: list[str], names: list[str], probs: np.ndarray, levels: np.ndarray, most: int = 200_000):
+    def __init__(self, languages: list[str], names: list[str], probs: np.ndarray, levels: np.ndarray, most: int = 120_000):
         self.languages, self.levels, self.model, self.most = languages, levels, Model(languages, names, probs.astype("f8")), most
         self._clear()
 

@@ -49,7 +49,7 @@ class WordBpe:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, "i8")
         for text, i in vocab.items():
             self.n_bytes[i] = len(text.removesuffix("</w>"))
-        self.parts = WordCache(self._encode, most=150_000)
+        self.parts = WordCache(self._encode, most=100_000)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part as little-endian 32-bit numbers. Parts are encoded many at a time and told apart by byte counts; where those do not tally, one at a time."""
