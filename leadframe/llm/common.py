@@ -6,7 +6,6 @@ import ctypes
 import gc
 import re
 import uuid
-import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
