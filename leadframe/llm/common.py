@@ -194,6 +194,11 @@ class WordCache:
             self.length += sum(map(len, new))
             self._add(self.make(new))
 
+    def shrink(self, n: int) -> None:
+        """Keeps the n words that came first, so that a worker that waits holds little."""
+        if len(self) > n:
+            self._keep(list(islice(self.place_of, n)))
+
     def _bound(self) -> None:
         if len(self) > self.most or self.length > self.most * self.mean_len:
             kept = list(islice(self.place_of, self.most // 2))

@@ -49,7 +49,7 @@ class WordBpe:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, "i8")
         for text, i in vocab.items():
             self.n_bytes[i] = len(text.removesuffix("</w>"))
-        self.parts = WordCache(self._encode, most=100_000)
+        self.parts = WordCache(self._encode, most=200_000)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part as little-endian 32-bit numbers. Parts are encoded many at a time and told apart by byte counts; where those do not tally, one at a time."""
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), columns, strict=True)})
+        bpe.parts.shrink(60_000)
 
     return documents(docs).mapInArrow(tidied(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
